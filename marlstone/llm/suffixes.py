@@ -372,7 +372,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _own(text: str = "text"):
     """Tells rows with equal doc_ids apart; rows that are equal in both have equal spans."""
-    return F.xxhash64(F.coalesce(text, F.lit(""))).cast("int")
+    return F.hash(F.coalesce(text, F.lit("")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
