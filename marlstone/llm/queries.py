@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, packing, simhash, suffixes, token_files, toxicity, warc
+from . import chat, common, decontaminate, html_text, packing, quality, simhash, suffixes, token_files, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.scratch_path(spark, "warc")
     return warc.read_archives(warc.write_archives(common.table(spark, sf_dir, "pages"), out), out)
@@ -41,11 +45,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(common.table(spark, sf_dir, "conversations"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_simhash, op4_toxicity, op6_warc, op7_chat, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_simhash, op4_toxicity, op5_html_text, op6_warc, op7_chat, op8_decontamination, op9_quality, op10_packing)}
 
 #: Maximal conversations by comparing the turns themselves.
 _OP7 = """
@@ -71,4 +83,26 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN m ON p.d = m.d
 """
 
-ORACLE = {"op6_warc": _OP6, "op7_chat": _OP7}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS win, len(w[i:i+9]) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT doc_id, s, n, array_to_string(w[s:s+n-1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, s, p.n, item_id FROM places p JOIN wins USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS at FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE = {"op6_warc": _OP6, "op7_chat": _OP7, "op8_decontamination": _OP8}
