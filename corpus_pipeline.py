@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import common, packing, simhash, suffixes, toxicity
+from marlstone.llm import common, decontaminate, packing, simhash, suffixes, toxicity
 from marlstone.llm.queries import vocabulary
 
 
@@ -33,12 +33,17 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _columns(suffixes.without_repeats(docs), docs)
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold a window of a benchmark item of ``sf_dir``."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=0)
 
 
-STAGES = [("toxicity", toxic), ("simhash", near_copies), ("suffixes", repeated_strings), ("packing", packed)]
+STAGES = [("toxicity", toxic), ("simhash", near_copies), ("suffixes", repeated_strings), ("decontamination", uncontaminated), ("packing", packed)]
 
 #: Tokenizing, the classifier and suffix sorting have no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
