@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZES = (3, 4, 5, 6, 7)
+SIZES = (4, 5, 6)
 #: Of odd multipliers for 64-bit n-gram hashes; one table for the bytes.
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,15 +82,16 @@ def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.
     if not len(y) or y.min() == y.max():
         none.bias = 500.0 if len(y) and y[0] else -500.0
         return none
-    # counts by slot first: a slot bounds what each of its n-grams can reach, so few hashes are held
+    # counts by slot first; only n-grams of slots that lean one way are held in the second pass
     slots = np.zeros((2, 1 << _SLOTS), np.int32)
-    own = []
     for t, label in zip(texts, labels):
-        h = np.unique(np.concatenate(list(_grams(_joined([t])[0]))))
-        own.append(h)
-        slots[int(label)][np.unique(h >> np.uint64(64 - _SLOTS)).astype(np.int64)] += 1
-    ok = slots.sum(0) >= least
-    kept = [h[ok[h >> np.uint64(64 - _SLOTS)]] for h in own]
+        slots[int(label)][np.unique(np.concatenate([h >> np.uint64(64 - _SLOTS) for h in _grams(_joined([t])[0])]))] += 1
+    lean = np.log((slots[1] + 0.5) / (y.sum() + 1)) - np.log((slots[0] + 0.5) / (len(y) - y.sum() + 1))
+    ok = (slots.sum(0) >= least) & (np.abs(lean) >= 0.8 * ratio)
+    del slots, lean
+    kept = []
+    for t in texts:
+        kept.append(np.unique(np.concatenate([h[ok[h >> np.uint64(64 - _SLOTS)]] for h in _grams(_joined([t])[0])])))
     flat, rows = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(h) for h in kept])
     hashes, at = np.unique(flat, return_inverse=True)
     n1 = np.bincount(at, weights=y[rows], minlength=len(hashes))

@@ -161,6 +161,9 @@ class Lowering:
         for c in calls:
             if c.value == "bm25_similarity":
                 scope.bm25(c, alone=any(e is c for e, _ in q.order) or any(e is c for e, _ in q.items))
+        for c in calls:
+            if c.value == "data":
+                scope.data(c)
         if q.where is not None:
             scope.df = scope.df.filter(scope.predicate(q.where))
         if q.expand:
@@ -363,6 +366,14 @@ class Scope:
         self.scores[repr(c)] = F.col(name) if alone else F.coalesce(F.col(name), F.lit(0.0))
         self.df = self.df.join(scored, key, "inner" if alone else "left")
 
+    def data(self, c: Node) -> None:
+        """A cell as a constant: one row, joined to all."""
+        if repr(c) not in self.scores:
+            name = f"__bmd{len(self.scores)}"
+            cell = self.df.filter(F.col(R.ROW_ID) == int(self.value(c.args[1]))).select(self.col(c.args[0]).alias(name))
+            self.df = self.df.crossJoin(F.broadcast(cell.limit(1)))
+            self.scores[repr(c)] = F.col(name)
+
     def value(self, e: Node):
         """The Python value of a constant."""
         if e.kind == "lit":
@@ -531,9 +542,6 @@ class Scope:
             return F.col(R.ROW_ID)
         if name == "random":
             return (F.rand(self.low.ctx.seed) * (1 << 32)).cast("bigint")
-        if name == "data":
-            row = self.value(args[1])
-            return self.df.filter(F.col(R.ROW_ID) == row).select(self.col(args[0])).scalar()
         if name == "extract":
             f = args[0].value
             c = self.col(args[1])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "YYYY": "yyyy", "DD": "dd", "HH24": "HH", "MI": "mm", "SS": "ss"}
 _STRINGS = re.compile(r"('(?:[^']|'')*')")
-_OPERAND = r"((?:\w+\.)?\w+(?:\([^()]*\))?|\([^()]*\))"
+_CAST = re.compile(r"::\s*(double precision|\w+)(\[\])?", re.I)
 
 
 def _arrow(m: re.Match) -> str:
@@ -31,10 +31,38 @@ def translate(sql: str) -> str:
     sql = re.sub(r"EXTRACT\s*\(\s*EPOCH\s+FROM\s*\(\s*([\w.]+)\s*-\s*([\w.]+)\s*\)\s*\)", r"(timestampdiff(MICROSECOND, \2, \1) / 1000000.0)", sql, flags=re.I)
     sql = re.sub(r"EXTRACT\s*\(\s*EPOCH\s+FROM\s+([\w.]+)\s*\)", r"(unix_micros(cast(\1 as timestamp)) / 1000000.0)", sql, flags=re.I)
     kinds = {"int4": "int", "int8": "bigint", "int2": "smallint", "float4": "float", "float8": "double", "text": "string", "varchar": "string", "numeric": "double", "jsonb": "string", "json": "string", "double precision": "double", "real": "float", "bool": "boolean"}
-    parts = _STRINGS.split(sql)
-    for i in range(0, len(parts), 2):
-        parts[i] = re.sub(_OPERAND + r"::(double precision|\w+)(\[\])?", lambda m: f"cast({m[1]} as {kinds.get(m[2].lower(), m[2])})" if not m[3] else f"cast({m[1]} as array<{kinds.get(m[2].lower(), m[2])}>)", parts[i])
-    return "".join(parts)
+    at = 0
+    while (m := _CAST.search(sql, at)) is not None:
+        quoted = {i for q in _STRINGS.finditer(sql) for i in range(*q.span())}
+        if m.start() in quoted:
+            at = m.end()
+            continue
+        start = _operand(sql, m.start(), quoted)
+        kind = kinds.get(m[1].lower(), m[1])
+        sql = f"{sql[:start]}cast({sql[start : m.start()]} as {f'array<{kind}>' if m[2] else kind}){sql[m.end() :]}"
+        at = start
+    return sql
+
+
+def _operand(sql: str, end: int, quoted: set[int]) -> int:
+    """Where the operand that ends at ``end`` starts: a name, a number, a string, or parentheses and the name before."""
+    i = end
+    if sql[i - 1] == "'":
+        i -= 1
+        while i - 1 in quoted:
+            i -= 1
+        return i
+    if sql[i - 1] == ")":
+        depth = 0
+        while i > 0:
+            i -= 1
+            if i not in quoted:
+                depth += (sql[i] == ")") - (sql[i] == "(")
+                if not depth:
+                    break
+    while i > 0 and (sql[i - 1].isalnum() or sql[i - 1] in "_."):
+        i -= 1
+    return i
 
 
 def run(spark: SparkSession, sql: str, args: list | dict | None = None) -> DataFrame:

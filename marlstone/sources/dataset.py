@@ -101,6 +101,7 @@ class Dataset:
         from pyarrow import fs
 
         a, b = _Files(source), _Files(target)
+        b.fs.create_dir(b.root, recursive=True)
         fs.copy_files(a.root, b.root, source_filesystem=a.fs, destination_filesystem=b.fs)
         return cls.open(spark, target)
 
@@ -347,7 +348,7 @@ class Dataset:
             for n in self.files.names(folder):
                 if n in there:
                     continue
-                other.fs.create_dir(f"{other.root}/{folder}", recursive=True)
+                other.fs.create_dir(f"{other.root}/{folder}/{n}" if folder == "data" else f"{other.root}/{folder}", recursive=True)
                 fs.copy_files(f"{self.files.root}/{folder}/{n}", f"{other.root}/{folder}/{n}", source_filesystem=self.files.fs, destination_filesystem=other.fs)
         other.write("refs.json", self._refs())
 
