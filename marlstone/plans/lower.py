@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, NumericType, StringType, StructType
 
 from .. import errors as E
 from ..functions import jsonfn, registry
@@ -83,7 +84,7 @@ class Lowering:
 
     def query(self, q: Select | SetOp) -> DataFrame:
         if q.ctes:
-            tables = dict(self.ctx.tables)
+            tables = ChainMap({}, self.ctx.tables)
             inner = Lowering(Context(**{**self.ctx.__dict__, "tables": tables}))
             for name, sub in q.ctes:
                 tables[name] = inner.query(sub)
@@ -507,7 +508,7 @@ class Scope:
             if isinstance(k, StructType):
                 c = c[self.value(axes[0])]
             elif isinstance(k, MapType):
-                c = F.get(c, self.col(axes[0])) if False else F.try_element_at(c, self.col(axes[0]))
+                c = F.try_element_at(c, self.col(axes[0]))
             else:
                 if len(axes) > T.rank(k):
                     raise E.IndexDimensionError(f"{len(axes)} indices into an array of rank {T.rank(k)}")
@@ -598,7 +599,7 @@ class Scope:
         if name == "arange":
             return T.arange(*cols[:2])
         if name == "div":
-            return F.call_function("div", *cols) if False else (cols[0] / cols[1]).cast("bigint")
+            return F.call_function("div", *cols) if all(isinstance(self.kind(c), IntegralType) for c in cols) else (cols[0] / cols[1]).cast("bigint")
         if name == "trunc":
             return F.when(cols[0] < 0, F.ceil(cols[0])).otherwise(F.floor(cols[0]))
         if name == "regexp_substr":

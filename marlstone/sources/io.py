@@ -31,8 +31,7 @@ def from_coco(spark: SparkSession, images_dir: str, annotations: str) -> DataFra
     marks = marks.join(names, "category_id", "left")
     cols = [c for c in ("bbox", "category_id", "category", "segmentation") if c in marks.columns]
     seqs = marks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("mark", *cols))).alias("s"))
-    none = [F.coalesce(F.col("s")[c], F.array()).alias(c) if False else F.col("s")[c].alias(c) for c in cols]
-    return images.join(seqs, "id", "left").select(F.concat(F.lit(images_dir.rstrip("/") + "/"), "file_name").alias("image"), "id", "height", "width", *none)
+    return images.join(seqs, "id", "left").select(F.concat(F.lit(images_dir.rstrip("/") + "/"), "file_name").alias("image"), "id", "height", "width", *(F.col("s")[c].alias(c) for c in cols))
 
 
 def batches(df: DataFrame, size: int, drop_last: bool = False, columns: list[str] | None = None) -> Iterator[dict]:
