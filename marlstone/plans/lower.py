@@ -161,7 +161,7 @@ class Lowering:
         scope = Scope(self, df, order)
         for c in calls:
             if c.value == "bm25_similarity":
-                scope.bm25(c, alone=any(e is c for e, _ in q.order) or any(e is c for e, _ in q.items))
+                scope.bm25(c, alone=repr(c) in {repr(e) for e, _ in [*q.order, *q.items]})
         for c in calls:
             if c.value == "data":
                 scope.data(c)
@@ -300,6 +300,7 @@ class Scope:
 
     def __init__(self, lowering: Lowering, df: DataFrame, order: list[str]):
         self.low, self.df, self.order, self.scores = lowering, df, order, {}
+        self.corpus = df
 
     def kind(self, c: Column) -> DataType:
         return self.df.select(c.alias("__x")).schema[0].dataType
@@ -359,11 +360,13 @@ class Scope:
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp, "prod": F.product, "median": F.median, "any_value": F.any_value}[name](x)
 
     def bm25(self, c: Node, alone: bool) -> None:
-        """Joins the scores; a ranking by BM25 alone keeps the documents that match."""
+        """Joins the scores, once for each different call; a ranking by BM25 alone keeps the documents that match."""
+        if repr(c) in self.scores:
+            return
         text = c.args[0].value.split(".")[-1]
         key = self.low._order(self.df, self.order)[0]
         name = f"__bm{len(self.scores)}"
-        scored = X.bm25(self.df, text, key, str(self.value(c.args[1])), name)
+        scored = X.bm25(self.corpus, text, key, str(self.value(c.args[1])), name)
         self.scores[repr(c)] = F.col(name) if alone else F.coalesce(F.col(name), F.lit(0.0))
         self.df = self.df.join(scored, key, "inner" if alone else "left")
 
