@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZES = (4, 5, 6)
+SIZES = (5, 7, 9)
 #: Of odd multipliers for 64-bit n-gram hashes; one table for the bytes.
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,7 +32,7 @@ def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
     b, h = _BYTE[data], None
     for n in range(1, SIZES[-1] + 1):
         h = b.copy() if h is None else h[:-1] * _STEP + b[n - 1 :]
-        if n >= SIZES[0]:
+        if n in SIZES:
             x = h ^ (h >> np.uint64(29))
             x *= np.uint64(0xBF58476D1CE4E5B9)
             yield x ^ (x >> np.uint64(32))
@@ -71,9 +71,10 @@ class Model:
         return p // len(self.hashes), p % len(self.hashes)
 
 
-def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.5, steps: int = 300, penalty: float = 1e-3) -> Model:
-    """Naive Bayes log-count ratios of the n-grams in ``least`` or more texts; those of ``ratio`` or more either way,
-    scaled by their ratio, are the features of a logistic regression with an L2 penalty.
+def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.5, steps: int = 300, penalty: float = 1e-4) -> Model:
+    """Naive Bayes log-count ratios of the n-grams in ``least`` or more texts; those of ``ratio`` or more, scaled by
+    their ratio, are the features of a logistic regression with an L2 penalty.  N-grams that lean to label 0 are left
+    out: a long text holds hundreds, which would outweigh a toxic passage in it.
 
     Without texts of both labels there are no features and the score is the share of label 1, 0 without any text.
     """
@@ -82,12 +83,12 @@ def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.
     if not len(y) or y.min() == y.max():
         none.bias = 500.0 if len(y) and y[0] else -500.0
         return none
-    # counts by slot first; only n-grams of slots that lean one way are held in the second pass
+    # counts by slot first; only n-grams of slots that lean to label 1 are held in the second pass
     slots = np.zeros((2, 1 << _SLOTS), np.int32)
     for t, label in zip(texts, labels):
         slots[int(label)][np.unique(np.concatenate([h >> np.uint64(64 - _SLOTS) for h in _grams(_joined([t])[0])]))] += 1
     lean = np.log((slots[1] + 0.5) / (y.sum() + 1)) - np.log((slots[0] + 0.5) / (len(y) - y.sum() + 1))
-    ok = (slots.sum(0) >= least) & (np.abs(lean) >= 0.8 * ratio)
+    ok = (slots.sum(0) >= least) & (lean >= 0.8 * ratio)
     del slots, lean
     kept = []
     for t in texts:
@@ -97,7 +98,7 @@ def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.
     n1 = np.bincount(at, weights=y[rows], minlength=len(hashes))
     n = np.bincount(at, minlength=len(hashes))
     r = np.log((n1 + 0.5) / (y.sum() + 1)) - np.log((n - n1 + 0.5) / (len(y) - y.sum() + 1))
-    pick = np.flatnonzero((n >= least) & (np.abs(r) >= ratio))
+    pick = np.flatnonzero((n >= least) & (r >= ratio))
     if not len(pick):
         p = y.mean()
         none.bias = float(np.log(p / (1 - p)))
