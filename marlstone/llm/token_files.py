@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -55,11 +56,12 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer: str, kind: str =
     Each range of doc_ids becomes three files: ``.ids`` (little-endian unsigned 16-bit integers when the vocabulary
     fits, else 32-bit), ``.off`` (64-bit offsets, one more than documents) and ``.docs`` (the doc_ids).  Returns a
     stored row per file: part, docs, tokens, stem, and ``base``, the tokens of all files before it, a prefix sum over
-    the parts.  A null text is empty; a null doc_id sorts first; rows with equal ids are ordered by text; an empty
-    table gives no file.  A task that runs again writes new files, and only those named in the result count.
+    the parts.  A null text is empty; a null doc_id sorts first; rows with equal ids are ordered by a hash of their
+    texts, so that one id's rows can be dealt to many files; an empty table gives no file.  A task that runs again writes new files, and only those named in the result count.
     """
     spark = docs.sparkSession
-    ordered = C.pick(docs, "doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = C.pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     meta = C.stored(C.map_arrow(ordered, partial(_write, out_uri=out_uri, tokenizer=tokenizer, kind=kind, end_id=end_id), META), "token-meta")
     # one short row for each file of many megabytes: the manifest that any reader of the format holds
     rows, base = sorted(meta.collect(), key=lambda r: r["part"]), 0
