@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 #: A full stop or comma that ends a word of other signs: those may be one piece together.
-_GLUED = re.compile(r"[.,] (?<=[\W_]..)|\A[.,] |\0")
+_GLUED = re.compile(r"[.,\0](?:(?<=\0)| (?:(?<=[\W_]..)|(?<=\A..)))")
+#: White space other than spaces and line ends: among ASCII signs, and beyond.
+_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def scratch_base(spark: SparkSession) -> str:
@@ -61,6 +65,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _plain(text: str) -> bool:
+    """Whether all of its white space is spaces and line ends."""
+    for c in _BLANKS:
+        if c in text:
+            return False
+    if not text.isascii():
+        for c in _WIDE_BLANKS:
+            if c in text:
+                return False
+    return True
+
+
 class UnitTokenizer:
     """Ids of whole texts through the ``tokenizers`` library, with a cache of units that it never merges across.
 
@@ -86,27 +102,63 @@ class UnitTokenizer:
         self.marks = {f"\0{c}": self.np.array(self.tk.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        # by id: pieces that begin a unit after a space, or end one
+        self.edge = np.zeros(self.tk.get_vocab_size(), bool)
+        for piece, i in self.tk.get_vocab().items():
+            self.edge[i] = piece.startswith("\u0120") if kind == "byte" else piece.endswith("</w>")
 
     def _units(self, text: str) -> list:
-        words, cuts = text.split(), text.count(" ") + text.count("\n")
-        plain = len(text) - sum(map(len, words)) == cuts  # no other white space
         if self.kind == "word":
-            if not plain:
+            if not _plain(text):
                 return re.split("[ \t\n\r\x0b\x0c]+", text)
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return words
-            text = " ".join(words).lower()
-            return text.replace(". ", " . ").replace(", ", " , ").split(" ") if not _GLUED.search(text) else text.split(" ")
-        if not plain or len(words) != cuts + 1:
+                return text.split()
+            text = text.lower().replace("\n", " ")
+            return text.replace(". ", " . ").replace(", ", " , ").split() if not _GLUED.search(text) else text.split()
+        if text[:1] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not _plain(text):
             return [re.split(r"(?<=\S) (?=\S)", text)]
         if not _GLUED.search(text):
             text = text.replace(". ", " \0. ").replace(", ", " \0, ")
         return [line.split(" ") for line in text.split("\n")]
 
     def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
-        """Units of Latin letters and digits go many to a call, a sign between them that no piece of theirs holds."""
+        """Units whose first or last piece shows where they begin or end go many to a call."""
+        if self.kind == "word":
+            together = [u for u in missing if u.isalpha() and (u.isascii() or max(u) < "\u0100")]
+            apart = [u for u in missing if not (u.isalpha() and (u.isascii() or max(u) < "\u0100"))]
+        else:
+            together = [u for u in missing if lead and u and " " not in u]
+            apart = [u for u in missing if not (lead and u and " " not in u)]
+        for at in range(0, len(together), 1 << 16):
+            apart += self._runs(cache, together[at : at + (1 << 16)])
+        self._parted(cache, apart, lead)
+
+    def _runs(self, cache: dict[str, bytes], units: list[str], each: int = 128) -> list[str]:
+        """Learns ``units``, parted by spaces alone; returns those of runs in which the pieces show another number."""
+        np, size, word = self.np, self.dtype.itemsize, self.kind == "word"
+        runs = [units[at : at + each] for at in range(0, len(units), each)]
+        ids = [e.ids for e in self.tk.encode_batch_fast([" ".join(run) if word else " " + " ".join(run) for run in runs], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, sum(map(len, ids)))
+        edge = self.edge[flat]
+        starts = np.cumsum([0] + [len(x) for x in ids])
+        count = np.concatenate(([0], np.cumsum(edge)))
+        good = count[starts[1:]] - count[starts[:-1]] == [len(run) for run in runs]
+        left: list[str] = []
+        if not good.all():
+            left = list(chain.from_iterable(run for run, ok in zip(runs, good) if not ok))
+            units = list(chain.from_iterable(run for run, ok in zip(runs, good) if ok))
+            flat = flat[np.repeat(good, np.diff(starts))]
+            edge = self.edge[flat]
+        at = np.flatnonzero(edge)
+        bounds = ((np.concatenate(([0], at + 1)) if word else np.append(at, len(flat))) * size).tolist()
+        raw = flat.tobytes()
+        cache.update(zip(units, [raw[a:z] for a, z in zip(bounds, bounds[1:])]))
+        return left
+
+    def _parted(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
+        """Units of Latin letters and digits with a sign between them that no piece of theirs holds; the rest one by one."""
         plain, odd = [], []
         for u in missing:
             (plain if u.isalnum() and (u.isascii() or max(u) < "\u0100") else odd).append(u)
@@ -139,9 +191,7 @@ class UnitTokenizer:
             return [b"".join(map(rest.__getitem__, s)) for s in split]
         self._learn(first, [u for u in {line[0] for s in split for line in s} | {"\n"} if u not in first], "")
         missing: set[str] = set()
-        for s in split:
-            for line in s:
-                missing.update(line[1:])
+        missing.update(*[line[1:] for s in split for line in s])
         self._learn(rest, [u for u in missing if u not in rest and u[:1] != "\0"], " ")
         rest |= self.marks
         get, end = rest.__getitem__, first["\n"]
