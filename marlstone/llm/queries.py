@@ -105,4 +105,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE = {"op6_warc": _OP6, "op7_chat": _OP7, "op8_decontamination": _OP8}
+_RULES = ", ".join(f"('{r}', CAST({g} AS DOUBLE[]))" for r, g in quality.RULES.items())
+_P = quality.RISK / len(quality.RULES)
+
+#: The base measures by counting, and the cutoffs from binomial tails by log-gamma sums.
+_OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT r, doc_id, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'k': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) AS x FROM m),
+twice AS (SELECT r, x.i AS i FROM (SELECT r, x, count(*) OVER (PARTITION BY r, x.k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+base AS (
+  SELECT m.r, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM m LEFT JOIN cov ON m.r = cov.r),
+sig AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         unnest([{{'rule': 'symbols', 'v': n_symbols / greatest(n_words, 1)}}, {{'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)}}, {{'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)}},
+                 {{'rule': 'long_words', 'v': word_chars / greatest(n_words, 1)}}, {{'rule': 'short_words', 'v': -word_chars / greatest(n_words, 1)}}], recursive := true)
+  FROM base),
+rules AS (SELECT * FROM (VALUES {_RULES}) AS t(rule, grid)),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT sig.*, quality FROM sig JOIN known USING (doc_id) WHERE NOT base_failed),
+total AS (SELECT lang, CAST(sum(quality) AS BIGINT) AS n FROM (SELECT DISTINCT r, lang, quality FROM held) GROUP BY lang),
+tests AS (SELECT count(*) * {sum(map(len, quality.RULES.values()))} AS tests FROM total),
+cuts AS (SELECT rule, grid, unnest(range(1, len(grid) + 1)) AS cut FROM rules),
+rejected AS (SELECT lang, rule, cut, grid[cut] AS cutoff, CAST(sum(quality) AS BIGINT) AS k, CAST(sum(1 - quality) AS BIGINT) AS bad FROM held JOIN cuts USING (rule) WHERE v > grid[cut] GROUP BY ALL),
+safe AS (
+  SELECT x.lang, rule, cut, cutoff, bad - 10 * k AS gain FROM rejected x JOIN total t ON x.lang IS NOT DISTINCT FROM t.lang, tests
+  WHERE k < n * {_P} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P})))) <= {quality.ERROR} / tests),
+best AS (SELECT lang, rule, arg_max(cutoff, gain * 100 + cut) AS cutoff FROM safe WHERE gain > 0 GROUP BY lang, rule),
+bad AS (SELECT DISTINCT r FROM sig JOIN best ON sig.rule = best.rule AND sig.lang IS NOT DISTINCT FROM best.lang WHERE v > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base) b LEFT JOIN bad ON b.r = bad.r
+"""
+
+ORACLE = {"op9_quality": _OP9, "op6_warc": _OP6, "op7_chat": _OP7, "op8_decontamination": _OP8}
