@@ -142,4 +142,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base) b LEFT JOIN bad ON b.r = bad.r
 """
 
-ORACLE = {"op9_quality": _OP9, "op6_warc": _OP6, "op7_chat": _OP7, "op8_decontamination": _OP8}
+#: Every window of 200 bytes by its digest; the rows of a text are told apart by number.
+_OP2 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT r, i, md5_number(b[i:i + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+steps AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM steps) GROUP BY r, g),
+gaps AS (SELECT r, a, z, lag(z, 1, 1) OVER w AS before, lead(a) OVER w AS after FROM runs WINDOW w AS (PARTITION BY r ORDER BY a)),
+pieces AS (SELECT r, before AS s, a - 1 AS e FROM gaps UNION ALL SELECT gaps.r, z, octet_length(b) FROM gaps JOIN d ON gaps.r = d.r WHERE after IS NULL),
+kept AS (SELECT pieces.r, string_agg(hex(b[s:e]), '' ORDER BY s) AS h FROM pieces JOIN d ON pieces.r = d.r WHERE e >= s GROUP BY pieces.r),
+sums AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums ON d.r = sums.r LEFT JOIN kept ON d.r = kept.r
+"""
+
+ORACLE = {"op2_suffix_dedup": _OP2, "op9_quality": _OP9, "op6_warc": _OP6, "op7_chat": _OP7, "op8_decontamination": _OP8}
