@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
 from ..errors import MergeError
+from ..sources.paths import stored
 
 ROW_ID = "_row_id"
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = ROW_ID) -> DataFrame:
     """Dense numbers from 0 in the order of ``order``, without bringing all rows to one task: rows are ranged over
-    partitions and sorted in them, and a partition's first number is the count of rows before it (one row each)."""
+    partitions and sorted in them, and a partition's first number is the count of rows before it (one row each).
+    The ranged rows are stored, as ranges drawn a second time from another sample would not have the same counts."""
     if name in df.columns:
         return df
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__m", 33)
     counts = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -71,8 +73,8 @@ def sample_by(df: DataFrame, w: Column, n: int | None = None, percent: float | N
     if not replace:
         key = F.log(1 - F.rand(seed)) / F.col("__w")
         return rows.filter("__w > 0").withColumn("__k", key).orderBy(F.desc("__k")).limit(n).drop("__k", "__w")
-    # a draw for each row is Poisson in the limit; here the draws are dealt to partitions by their weight, then to rows
-    rows = rows.filter("__w > 0").withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    # the draws are dealt to partitions by their weight, then to rows; both passes must see the same partitions
+    rows = stored(rows.filter("__w > 0").withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33)), "weighted")
     sums = rows.groupBy("__p").agg(F.sum("__w").alias("s"))
     cum = sums.withColumn("hi", F.sum("s").over(Window.orderBy("__p")))  # a row for each partition
     total = cum.agg(F.max("hi").alias("t"))
