@@ -224,4 +224,5 @@ def open_fs(uri: str):
     """(file system, path) for a URI that executors share; a bare path is local."""
     from pyarrow import fs
 
+    uri = re.sub("^s3[an]:", "s3:", uri)  # Hadoop's names for it
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))

@@ -37,8 +37,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = common.scratch_path(spark, "warc")
-    return warc.read_archives(warc.write_archives(common.table(spark, sf_dir, "pages"), out), out)
+    return warc.read_archives(warc.write_archives(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc")))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def _write(batches: Iterator[pa.RecordBatch], out_uri: str, level: int, dict_kb:
     fs, root = C.open_fs(out_uri)
     fs.create_dir(root, recursive=True)
     ctx = TaskContext.get()
-    name, out, z, n = f"{root}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.zst", None, None, 0
+    name, out, z, n = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.zst", None, None, 0
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(5)]
         records = [_record(p, u, h or b"", len(h or b""), d, r) for p, u, h, d, r in zip(*cols)]
@@ -50,7 +50,7 @@ def _write(batches: Iterator[pa.RecordBatch], out_uri: str, level: int, dict_kb:
                 d = zstd.train_dictionary(dict_kb << 10, sample)
             except zstd.ZstdError:  # too few samples to train on
                 d = None
-            out = fs.open_output_stream(name)
+            out = fs.open_output_stream(f"{root}/{name}")
             if d:
                 frame = zstd.ZstdCompressor(level=level).compress(d.as_bytes())
                 out.write(struct.pack("<II", SKIPPABLE, len(frame)) + frame)
@@ -60,7 +60,7 @@ def _write(batches: Iterator[pa.RecordBatch], out_uri: str, level: int, dict_kb:
         n += len(records)
     if out is not None:
         out.close()
-        yield pa.RecordBatch.from_pydict({"path": [name], "records": [n]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"path": [f"{out_uri}/{name}"], "records": [n]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
 
 def write_archives(pages: DataFrame, out_uri: str, level: int = 3, dict_kb: int = 32, least: int = 100) -> DataFrame:
@@ -159,9 +159,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def read_archives(archives: DataFrame, out_uri: str) -> DataFrame:
+def read_archives(archives: DataFrame) -> DataFrame:
     """A row per record of ``archives`` (path, records): page_id, payload_bytes, payload_digest, record_type, refers_to.
     Each frame is decoded with the file's dictionary, and headers, lengths and digests are validated."""
-    scheme = out_uri.split("://")[0] + "://" if "://" in out_uri else "file://"
     n = max(1, min(archives.sparkSession.sparkContext.defaultParallelism * 8, archives.count()))
-    return C.map_arrow(archives.select(F.concat(F.lit(scheme), "path").alias("path"), "records").repartition(n), _read, RECORDS)
+    return C.map_arrow(archives.select("path", "records").repartition(n), _read, RECORDS)

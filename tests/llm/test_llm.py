@@ -309,7 +309,7 @@ def test_warc(spark):
     rows += [(100 + k, "u", f"<html>page {k} " + "word " * (k % 50)) for k in range(200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     out = common.scratch_path(spark, "warc")
-    got = key(map(tuple, warc.read_archives(warc.write_archives(df, out), out).collect()))
+    got = key(map(tuple, warc.read_archives(warc.write_archives(df, out)).collect()))
     first = {}
     for i, _, h in rows:
         if len((h or "").encode()) >= 100 and i is not None:
@@ -322,7 +322,7 @@ def test_warc(spark):
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if refers is None else "revisit", refers))
     assert got == key(want)
     none = common.scratch_path(spark, "warc")
-    assert warc.read_archives(warc.write_archives(df.limit(0), none), none).collect() == []
+    assert warc.read_archives(warc.write_archives(df.limit(0), none)).collect() == []
 
 
 def test_warc_validates():
