@@ -181,6 +181,10 @@ GROUP BY segment ORDER BY segment""",
     "sql_to_date": ("SELECT o_orderkey, to_date('1997-03-05', '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < to_date('1995-02-01', '%Y-%m-%d')", "SELECT o_orderkey, strptime('1997-03-05', '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < strptime('1995-02-01', '%Y-%m-%d')"),
     "sql_div": ("SELECT p_partkey, CAST(DIV(p_size - 25, 7) AS bigint) AS q, (p_size - 25) % 7 AS r FROM part", "SELECT p_partkey, CAST((p_size - 25) // 7 AS bigint) AS q, (p_size - 25) % 7 AS r FROM part"),
     "sql_math": "SELECT c_custkey, round(c_acctbal, 1) AS r1, ceil(c_acctbal) + 0.0 AS up, floor(c_acctbal) + 0.0 AS down, abs(c_acctbal) AS a, sign(c_acctbal) + 0.0 AS s, round(sqrt(abs(c_acctbal)), 6) AS root, round(power(c_acctbal, 2), 2) AS sq FROM customer",
+    "sql_trunc": ("SELECT c_custkey, TRUNC(c_acctbal) AS t, TRUNC(c_acctbal, 1) AS t1 FROM customer", "SELECT c_custkey, trunc(c_acctbal) AS t, trunc(c_acctbal * 10) / 10 AS t1 FROM customer"),
+    "sql_arrays": ("SELECT vec_id, CAST(embedding[1] AS double) AS a, CAST(embedding[64] AS double) AS z, array_length(embedding, 1) AS n FROM embeddings", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[64] AS DOUBLE) AS z, len(embedding) AS n FROM embeddings"),
+    "sql_generate_series": ("SELECT o_orderpriority, generate_series AS n FROM orders JOIN generate_series(1, 3) ON generate_series = o_custkey % 5", "SELECT o_orderpriority, generate_series AS n FROM orders JOIN generate_series(1, 3) ON generate_series = o_custkey % 5"),
+    "json_contains": ("SELECT event_id FROM events WHERE props @> '{\"k\": 69}'", "SELECT event_id FROM events WHERE (props ->> 'k') = '69'"),
     "sql_casts": ("SELECT o_orderkey, o_totalprice::int8 AS whole, o_orderkey::text AS t, (o_custkey::text || '.5')::float8 AS f, '12'::int4 AS i FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_orderkey AS VARCHAR) AS t, CAST(CAST(o_custkey AS VARCHAR) || '.5' AS DOUBLE) AS f, CAST('12' AS INTEGER) AS i FROM orders"),
     "sql_case": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS seg, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS other FROM customer",
     # JSON in events

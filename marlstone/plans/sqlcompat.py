@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,44 @@ def _arrow(m: re.Match) -> str:
     return f"get_json_object({m[1]}, '${path}')"
 
 
+def _contained(m: re.Match) -> str:
+    """``a @> '{...}'``: every field of the object, at any depth, equals."""
+
+    def parts(v: object, path: str) -> list[str]:
+        if isinstance(v, dict):
+            return [p for k, x in v.items() for p in parts(x, f"{path}.{k}")]
+        at = f"get_json_object({m[1]}, '{path}')"
+        if isinstance(v, list):
+            return [f"coalesce(array_contains(from_json({at}, 'array<string>'), '{x if isinstance(x, str) else json.dumps(x)}'), false)" for x in v]
+        if isinstance(v, str):
+            quoted = v.replace("'", "''")
+            return [f"coalesce({at} = '{quoted}', false)"]
+        return [f"coalesce(try_cast({at} as double) = {float(v)}, false)"] if not isinstance(v, bool) and v is not None else [f"coalesce({at} = '{json.dumps(v)}', false)"]
+
+    return f"({' and '.join(parts(json.loads(m[2].replace(chr(39) * 2, chr(39))), '$')) or 'true'})"
+
+
+def _trunc(m: re.Match) -> str:
+    ten = f"power(10, {m[2]})" if m[2] else "1"
+    return f"(sign({m[1]}) * floor(abs({m[1]}) * {ten}) / {ten})"
+
+
+def _outside(pattern: str, to: str | Callable, sql: str) -> str:
+    """Replaces outside of strings."""
+    return "".join(part if i % 2 else re.sub(pattern, to, part, flags=re.I) for i, part in enumerate(_STRINGS.split(sql)))
+
+
 def translate(sql: str) -> str:
-    """``a ->> 'k'`` chains, ``a @> '{…}'`` on flat objects, DIV, to_date with a format, EPOCH and casts by ``::``."""
+    """``a ->> 'k'`` chains, ``a @> '{…}'``, DIV, TRUNC, to_date with a format, TO_TIMESTAMP, EPOCH, generate_series,
+    subscripts from 1, array_length and casts by ``::``."""
+    sql = re.sub(r"((?:\w+\.)?\w+)\s*@>\s*'((?:[^']|'')*)'(?:::jsonb?)?", _contained, sql)
+    sql = re.sub(r"'epoch'\s*(?:::\s*timestamp)?\s*\+\s*interval\s*'1 microsecond'\s*\*\s*((?:\w+\.)?\w+)", r"timestamp_micros(\1)", sql, flags=re.I)
+    sql = _outside(r"\bTO_TIMESTAMP\s*\(\s*([^(),]+)\s*\)", r"timestamp_seconds(\1)", sql)
+    sql = _outside(r"\bTRUNC\s*\(\s*([^(),]+?)\s*(?:,\s*(\d+)\s*)?\)", _trunc, sql)
+    sql = _outside(r"\b(from|join)\s+generate_series\s*\(([^()]*)\)", r"\1 (select explode(sequence(\2)) as generate_series)", sql)
+    sql = _outside(r"\bgenerate_series\s*\(([^()]*)\)", r"explode(sequence(\1))", sql)
+    sql = _outside(r"\barray_length\s*\(\s*([^(),]+)\s*,\s*1\s*\)", r"array_size(\1)", sql)
+    sql = _outside(r"\b(?!array\b)((?:\w+\.)?[a-z_]\w*)\[(\d+)\]", r"try_element_at(\1, \2)", sql)
     sql = re.sub(r"((?:\w+\.)?\w+)((?:\s*->>?\s*(?:'\w+'|\d+))+)", _arrow, sql)
     sql = re.sub(r"\bDIV\s*\(\s*([^(),]+)\s*,\s*([^(),]+)\s*\)", r"((\1) div (\2))", sql, flags=re.I)
 

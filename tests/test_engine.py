@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone import api
 from marlstone import errors as E
-from marlstone.functions import jsonfn
+from marlstone.functions import boxes, jsonfn
 from marlstone.functions import tensor as T
 from marlstone.functions import text as X
 from marlstone.operators import rows, search, sequences, stats
@@ -348,6 +348,29 @@ def test_statement_parts():
     assert sqlcompat.translate("d -> 'a' ->> 'b'") == "get_json_object(d, '$.a.b')"
 
 
+def test_sql_compat(spark):
+    run = lambda q: sqlcompat.run(spark, q).first()
+    assert run("SELECT TO_TIMESTAMP(60)::text AS v").v == "1970-01-01 00:01:00" and run("SELECT ('epoch'::timestamp + INTERVAL '1 microsecond' * x)::text AS v FROM (SELECT 1000001 AS x) t").v == "1970-01-01 00:00:01.000001"
+    assert run("SELECT TRUNC(-2.57, 1) AS a, TRUNC(-2.57) AS b, 'TRUNC(1)' AS c").asDict() == {"a": pytest.approx(-2.5), "b": -2, "c": "TRUNC(1)"}
+    assert [r.generate_series for r in sqlcompat.run(spark, "SELECT * FROM generate_series(2, 4)").collect()] == [2, 3, 4]
+    df = spark.createDataFrame([('{"a": {"b": 1, "c": "x"}, "t": ["p", "q"], "n": null, "f": true}', [5, 6])], "d string, a array<int>")
+    df.createOrReplaceTempView("compat")
+    for wanted, ok in (('{"a": {"b": 1}}', True), ('{"a": {"b": 2}}', False), ('{"t": ["q"]}', True), ('{"t": ["z"]}', False), ('{"f": true}', True), ('{"a": {"c": "x"}, "f": true}', True), ("{}", True), ('{"zz": 1}', False)):
+        assert run(f"SELECT d @> '{wanted}' AS v FROM compat").v is ok
+    assert run("SELECT a[1] AS x, a[3] AS y, array_length(a, 1) AS n, ARRAY(1)[0] AS z FROM compat").asDict() == {"x": 5, "y": None, "n": 2, "z": 1}
+
+
+def test_boxes(spark):
+    df = spark.createDataFrame([([[10.0, 20.0, 30.0, 40.0]], 100.0, 200.0)], "b array<array<double>>, w double, h double")
+    for kind in boxes.FORMATS:
+        there = boxes.convert(F.col("b"), "ltwh", kind)
+        assert df.select(boxes.convert(there, kind, "ltwh")).first()[0] == [[10.0, 20.0, 30.0, 40.0]]
+    assert df.select(boxes.convert(F.col("b"), "ltwh", "ltrb")).first()[0] == [[10.0, 20.0, 40.0, 60.0]]
+    assert df.select(boxes.convert(F.col("b"), "ltwh", "ccwh", F.col("w"), F.col("h"), True)).first()[0] == [[0.25, 0.2, 0.3, 0.2]]
+    with pytest.raises(ValueError):
+        boxes.convert(F.col("b"), "xyxy", "ltwh")
+
+
 def test_indexes(spark):
     d = Dataset.create(spark, paths.work_path(spark, "ix"), "id int, s string, n int, v array<float>")
     vec = lambda i: [math.sin(i * 7 + j) for j in range(8)]
