@@ -223,7 +223,18 @@ class Lowering:
         if not q.order:
             return df
         at = Scope(self, df, scope.order) if done else scope
-        return df.orderBy(*(at.ordering(names.get(e.value, e) if e.kind == "col" and not done else e, asc) for e, asc in q.order))
+        keys = []
+        for i, (e, asc) in enumerate(q.order):
+            e = names.get(e.value, e) if e.kind == "col" and not done else e
+            if not done and names_in(e, "call") and not (e.kind == "call" and e.value == "random"):
+                # a column first: vectorised functions can't stand in a sort, and the same call is then made once
+                df = at.df = df.withColumn(f"__o{i}", at.col(e))
+                if e.kind == "call":
+                    at.scores[repr(e)] = F.col(f"__o{i}")
+                keys.append(F.col(f"__o{i}").asc_nulls_last() if asc else F.col(f"__o{i}").desc_nulls_last())
+            else:
+                keys.append(at.ordering(e, asc))
+        return df.orderBy(*keys)
 
     def plain(self, q: Select, scope: Scope, items: list) -> DataFrame:
         names = {n: e for e, n in items}

@@ -459,3 +459,15 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in got) == 35 and len(got) == 9
     batch = streams.sessions(e, "ts", "2 minutes", "user").collect()
     assert len(batch) == 30 and all(r.n == 1 for r in batch)
+
+
+def test_cosine_with_a_constant(spark):
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [-3.0, -4.0])], "i int, v array<double>")
+    got = {r.i: r.s for r in df.select("i", T.cosine_to(F.col("v"), [6.0, 8.0]).alias("s")).collect()}
+    assert got[0] == pytest.approx(1) and got[4] == pytest.approx(-1) and got[1] is None and got[2] is None and got[3] is None
+    assert df.limit(0).select(T.cosine_to(F.col("v"), [6.0, 8.0])).collect() == []
+    for bad in ([1.0], [1.0, 2.0, 3.0]):
+        with pytest.raises(Exception, match="shapes of the operands differ"):
+            df.select(T.cosine_to(F.col("v"), bad)).collect()
+    ints = spark.createDataFrame([([[1, 0], [0, 2]],), ([],), (None,)], "m array<array<int>>")
+    assert [r[0] for r in ints.select(T.maxsim_batch([[0.0, 1.0], [1.0, 1.0]])(F.col("m"))).collect()] == [pytest.approx(1 + math.sqrt(0.5)), None, None]
