@@ -187,6 +187,12 @@ def cosine_to(x: Column, q: Sequence[float]) -> Column:
     return _batched(score)(x)
 
 
+def cosine_const(x: Column, q: Sequence[float]) -> Column:
+    """As cosine_to, by array functions: for a vector that is computed itself."""
+    q = [float(v) for v in q]
+    return F.try_divide(dot(x, vector(q)), l2_norm(x) * F.lit(sum(v * v for v in q) ** 0.5))
+
+
 def hamming(a: Column, b: Column) -> Column:
     fail = F.assert_true(F.size(a) == F.size(b), F.lit("shapes of the operands differ"))
     return F.when(fail.isNull(), F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda v: v)))
@@ -211,7 +217,7 @@ def maxsim_batch(query: Sequence[Sequence[float]]):
         for docs in batches:
             counts = np.diff(docs.offsets.to_numpy())
             rows = docs.flatten()
-            m = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+            m = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
             s = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T
             out = np.full((len(docs), len(q)), np.nan)
             has = np.flatnonzero(counts)

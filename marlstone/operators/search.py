@@ -119,7 +119,7 @@ def pooled_top_k(df: DataFrame, column: str, query: Sequence[Sequence[float]], k
     """Matrices: mean rows choose k * rerank * 4 candidates by cosine, MAXSIM ranks those."""
     config = config or SearchConfig.default()
     pooled = [sum(r[j] for r in query) / len(query) for j in range(len(query[0]))]
-    near = top_k(df, T.cosine_to(T.mean_rows(F.col(column)), pooled), max(k, int(k * config.rerank * 4)), key).drop("score")
+    near = top_k(df, T.cosine_const(T.mean_rows(F.col(column)), pooled), max(k, int(k * config.rerank * 4)), key).drop("score")
     return maxsim_top_k(near, column, query, k, key)
 
 

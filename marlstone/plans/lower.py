@@ -568,8 +568,8 @@ class Scope:
             if len(args) != 2:
                 raise E.FunctionNotFound(f"{name} takes two arguments, not {len(args)}")
             if name == "cosine_similarity" and self.constant(args[1]):
-                return T.cosine_to(self.col(args[0]), self.value(args[1]))
-            if name == "maxsim" and self.constant(args[1]):
+                return (T.cosine_to if args[0].kind == "col" else T.cosine_const)(self.col(args[0]), self.value(args[1]))
+            if name == "maxsim" and self.constant(args[1]) and not names_in(args[0], "call"):
                 return T.maxsim_batch(self.value(args[1]))(self.col(args[0]))
             a, b = map(self.col, args)
             if name == "cosine_similarity" and self.rank(a) == 2:

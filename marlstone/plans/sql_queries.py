@@ -180,7 +180,7 @@ GROUP BY segment ORDER BY segment""",
     "sql_epoch_between": ("SELECT user_id, CAST(EXTRACT(EPOCH FROM (last_ts - first_ts)) * 1000 AS bigint) AS millis FROM (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id) u", "SELECT user_id, CAST(round(date_diff('microsecond', min(ts), max(ts)) / 1000.0 - 0.5) AS bigint) AS millis FROM events GROUP BY user_id"),
     "sql_to_date": ("SELECT o_orderkey, to_date('1997-03-05', '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < to_date('1995-02-01', '%Y-%m-%d')", "SELECT o_orderkey, strptime('1997-03-05', '%Y-%m-%d') AS day FROM orders WHERE o_orderdate < strptime('1995-02-01', '%Y-%m-%d')"),
     "sql_div": ("SELECT p_partkey, CAST(DIV(p_size - 25, 7) AS bigint) AS q, (p_size - 25) % 7 AS r FROM part", "SELECT p_partkey, CAST((p_size - 25) // 7 AS bigint) AS q, (p_size - 25) % 7 AS r FROM part"),
-    "sql_math": "SELECT c_custkey, round(c_acctbal, 1) AS r1, ceil(c_acctbal) + 0.0 AS up, floor(c_acctbal) + 0.0 AS down, abs(c_acctbal) AS a, sign(c_acctbal) + 0.0 AS s, round(sqrt(abs(c_acctbal)), 6) AS root, round(power(c_acctbal, 2), 2) AS sq FROM customer",
+    "sql_math": "SELECT c_custkey, round(c_acctbal, 1) AS r1, CAST(ceil(c_acctbal) AS double) AS up, CAST(floor(c_acctbal) AS double) AS down, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS double) AS s, round(sqrt(abs(c_acctbal)), 6) AS root, round(power(c_acctbal, 2), 2) AS sq FROM customer",
     "sql_trunc": ("SELECT c_custkey, TRUNC(c_acctbal) AS t, TRUNC(c_acctbal, 1) AS t1 FROM customer", "SELECT c_custkey, trunc(c_acctbal) AS t, trunc(c_acctbal * 10) / 10 AS t1 FROM customer"),
     "sql_arrays": ("SELECT vec_id, CAST(embedding[1] AS double) AS a, CAST(embedding[64] AS double) AS z, array_length(embedding, 1) AS n FROM embeddings", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[64] AS DOUBLE) AS z, len(embedding) AS n FROM embeddings"),
     "sql_generate_series": ("SELECT o_orderpriority, generate_series AS n FROM orders JOIN generate_series(1, 3) ON generate_series = o_custkey % 5", "SELECT o_orderpriority, generate_series AS n FROM orders JOIN generate_series(1, 3) ON generate_series = o_custkey % 5"),

@@ -30,6 +30,16 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
+def kinds(df: pd.DataFrame) -> dict[str, str]:
+    """Sorts of values by column; numbers of all widths are one."""
+
+    def of(c: pd.Series) -> str:
+        seen = {"bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else type(v).__name__ for v in c.dropna()} if c.dtype == object else {"b": {"bool"}, "M": {"time"}}.get(getattr(c.dtype, "kind", "O"), {"number"} if getattr(c.dtype, "kind", "O") in "iuf" else {"str"})
+        return "/".join(sorted(seen))
+
+    return {c: of(df[c]) for c in sorted(df.columns)}
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -47,6 +57,8 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert len(got) == len(want)
         assert rows(got) == rows(want)
+        if len(got):
+            assert kinds(got) == kinds(want)
     assert len(got) or name in EMPTY
 
 
