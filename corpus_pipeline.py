@@ -23,9 +23,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document, that with the smallest doc_id, of each group of near-duplicates."""
-    keep = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return simhash.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

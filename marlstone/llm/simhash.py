@@ -41,7 +41,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in C.binary(b.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 def _masks() -> np.ndarray:
@@ -132,6 +132,12 @@ def links(fps: DataFrame) -> DataFrame:
     return C.map_arrow(spread, _compare, "u long, v long").distinct()
 
 
+def _rooted(points: DataFrame) -> DataFrame:
+    """``points`` (one row for each fingerprint fp) with the root of each one's component."""
+    roots = components(links(points.select("fp")))
+    return points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for every row of ``docs`` (doc_id, text).
 
@@ -142,8 +148,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = C.stored(C.map_arrow(C.pick(docs, "doc_id", "text"), _fingerprints, "doc_id long, fp long"), "fingerprints")
     points = C.stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(links(points.select("fp")))
-    points = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    points = _rooted(points)
     names = points.groupBy("root").agg(F.min("least").alias("component_id"))
     named = C.stored(points.join(names, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest doc_id, null after all others; of equal ids, that
+    with the least hash of its text.
+
+    A row is known by a 128-bit hash of doc_id and text, so null and repeated doc_ids lose nothing.  Rows equal in both
+    share their component and are made one, with map-side combining, before they are looked up.
+    """
+    row = "_".join(["row", *docs.columns])  # a name that no column has
+    own = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    own_fps = C.map_arrow(docs.select("doc_id", "text", own.alias("row")), _fingerprints, "doc_id long, fp long, row string")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    points = _rooted(C.stored(own_fps.groupBy("fp").agg(first), "points"))
+    keep = points.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return docs.withColumn(row, own).dropDuplicates([row]).join(keep, row, "left_semi").select(*docs.columns)

@@ -459,3 +459,16 @@ def test_pipeline(spark, tmp_path):
     assert ids["packing"] == ids["decontamination"] and [n for n, _ in corpus_pipeline.STAGES] == list(seen)
     assert all(seen[n].columns == schema.replace(" long", "").replace(" string", "").split(", ") for n in list(seen)[:-1])
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect()), key=repr) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()), key=repr)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    t = [" ".join(r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(8)]
+    rows = [(None, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (3, t[2]), (7, t[3]), (7, t[4]), (2, t[4]), (7, t[5]), (7, t[5]), (9, t[6]), (9, t[7]), (11, None), (None, "")]
+    df = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    got = corpus_pipeline.near_copies(spark, df, "")
+    assert got.columns == df.columns
+    want = [(None, t[0]), (None, t[1]), (3, t[2]), (7, t[3]), (2, t[4]), (7, t[5]), (9, t[6]), (9, t[7]), (11, None)]
+    assert key((x.doc_id, x.text) for x in got.collect()) == key(want)
