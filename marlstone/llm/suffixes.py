@@ -23,7 +23,7 @@ from . import common as C
 LENGTH, K = 200, 96
 WINDOW = LENGTH - K + 1
 CHUNK = 1 << 21
-#: Distinct contexts of one anchor beyond which its windows are dealt out one by one, each by its own hash.
+#: Distinct contexts of one anchor beyond which its windows are dealt out one by one and counted by a 128-bit hash.
 SPLIT = 20_000
 
 _U = np.uint64
@@ -180,7 +180,7 @@ def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
 FOUND = "doc_id long, own int, first int, last int, kind int, anchor long, back int"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket: kind 0, windows that are repeated for certain; kinds 1 and 2, runs whose bytes are to be compared
     (2: window by window); 3 and 4, the same of a run that is repeated itself and only serves others."""
     names = ["doc_id", "own", "first", "last", "kind", "anchor", "back"]
@@ -220,7 +220,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.flatnonzero(repeated & ~many)  # what a task repeats by itself it has settled
         yield from rows(ids[s], null[s], own[s], first[s], last[s], zero[s], zero[s], zero[s])
         s = np.flatnonzero(new_c & (classes > 1))
-        kind = np.where(classes > SPLIT, 2, 1) + 2 * repeated
+        kind = np.where(classes > split, 2, 1) + 2 * repeated
         yield from rows(ids[s], null[s], own[s], first[s], last[s], kind[s], h[s].view(np.int64), back[s].astype(np.int32))
 
 
@@ -228,6 +228,7 @@ CONTEXT = "anchor long, context binary, windows int, doc_id long, own int, first
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each run asked for; of a split anchor's runs the 128-bit hash of each window, with 0 for ``windows``."""
     names = ["anchor", "context", "windows", "doc_id", "own", "first", "only"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
     for b in batches:
@@ -239,9 +240,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((anchor, text[first : last + LENGTH], last - first + 1, doc_id, own, first, kind > 2))
                 else:
                     for i in range(first, last + 1):
-                        w = text[i : i + LENGTH]
-                        key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-                        rows.append((key, w, 1, doc_id, own, i, kind > 2))
+                        rows.append((anchor, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), 0, doc_id, own, i, kind > 2))
                 if len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows.clear()
@@ -336,7 +335,7 @@ def repeated_starts(contexts: list[bytes], windows: list[int]) -> list[list[int]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor; an anchor's contexts are SPLIT at most, so what is held is bounded."""
+    """Of rows sorted by anchor, without the split ones; an anchor's contexts are SPLIT at most, so what is held is bounded."""
     names = ["doc_id", "own", "first", "last"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
@@ -370,6 +369,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(rows)
 
 
+def _dealt(windows: DataFrame, split: int) -> DataFrame:
+    """Of the windows of split anchors those whose hash occurs twice, counted with map-side combining.  The windows that
+    over ``split`` rows share, at most one for each ``split`` rows, are looked up without a shuffle."""
+    twice = C.stored(windows.groupBy("context").agg(F.count("*").alias("n")).filter("n > 1"), "windows")
+    hot, windows = F.broadcast(twice.filter(F.col("n") > split).select("context")), windows.filter("not only")
+    cold = windows.join(hot, "context", "left_anti").join(twice.filter(F.col("n") <= split), "context", "left_semi")
+    return windows.join(hot, "context", "left_semi").union(cold).select("doc_id", "own", "first", F.col("first").alias("last"))
+
+
 def _own(text: str = "text"):
     """Tells rows with equal doc_ids apart; rows that are equal in both have equal spans."""
     return F.hash(F.coalesce(text, F.lit("")))
@@ -382,13 +390,19 @@ def spans(docs: DataFrame) -> DataFrame:
     parts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", _own().alias("own"), "text")
     blobs = C.map_arrow(rows.filter(F.octet_length("text") >= LENGTH), partial(_anchors, parts=parts), "bucket int, open boolean, blob binary")
-    found = C.stored(C.map_arrow(blobs.repartition(parts, "bucket"), _groups, FOUND), "anchors")
+    found = C.stored(C.map_arrow(blobs.repartition(parts, "bucket"), partial(_groups, split=SPLIT), FOUND), "anchors")
     asked = found.filter("kind > 0").groupBy("doc_id", "own").agg(F.collect_list(F.struct("first", "last", "kind", "anchor")).alias("runs"))
     at = rows.alias("d").join(asked.alias("a"), F.expr("d.doc_id <=> a.doc_id and d.own = a.own"))
     # rows that are equal in doc_id and text share their runs, which were counted for each: one sends them
     contexts = C.map_arrow(at.select("d.doc_id", "d.own", "d.text", "a.runs").dropDuplicates(["doc_id", "own"]), _contexts, CONTEXT)
+    dealt = None
+    if not found.filter("kind in (2, 4)").isEmpty():
+        contexts = C.stored(contexts, "contexts")
+        dealt = _dealt(contexts.filter("windows = 0"), SPLIT)
+        contexts = contexts.filter("windows > 0")
     verified = C.map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), _verify, ROWS)
     every = found.filter("kind = 0").select("doc_id", "own", "first", "last").union(verified)
+    every = every.union(dealt) if dealt else every
     return C.stored(every.groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "spans")
 
 

@@ -234,6 +234,29 @@ def test_suffixes_hot_and_split(spark):
     assert key(map(tuple, suffixes.removed(df).collect())) == want
 
 
+def test_suffixes_split_windows_stay_small(spark, monkeypatch):
+    """A window that many contexts of a split anchor share is counted; its rows do not meet in one task."""
+    r = random.Random(10)
+    core = "".join(r.choice("abcdef ") for _ in range(230))
+    noise = lambda n: "".join(r.choice("uvwxyz ") for _ in range(n))
+    rows = [(k, noise(r.randint(40, 150)) + core + noise(r.randint(40, 150))) for k in range(60)] + [(5, noise(60) + core), (None, core + noise(60)), (300, noise(400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    verify = suffixes._verify
+
+    def bounded(batches):
+        met = collections.Counter()
+        for b in batches:
+            met.update(b.column(0).to_pylist())
+            assert not met or max(met.values()) <= 3
+            yield from verify(iter([b]))
+
+    monkeypatch.setattr(suffixes, "SPLIT", 3)
+    monkeypatch.setattr(suffixes, "_verify", bounded)
+    want = key((i, *w) for (i, _), w in zip(rows, brute_spans([t for _, t in rows])))
+    assert key(map(tuple, suffixes.removed(df).collect())) == want
+    assert any(w[2] for w in want)
+
+
 def test_suffix_sort():
     r = random.Random(4)
     for alphabet in (b"ab", b"abc", b"a", bytes(range(256))):
