@@ -99,7 +99,8 @@ class UnitTokenizer:
         self.tk.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tk.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         (self.sep,) = self.tk.encode("\1", add_special_tokens=False).ids
-        self.marks = {f"\0{c}": self.np.array(self.tk.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
+        # split-off stops and commas: a tab begins no unit after a cut, as what follows one is no white space
+        self.marks = {f"\t{c}": self.np.array(self.tk.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in ".,"}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         # by id: pieces that begin a unit after a space, or end one
@@ -120,7 +121,7 @@ class UnitTokenizer:
         if text[:1] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not _plain(text):
             return [re.split(r"(?<=\S) (?=\S)", text)]
         if not _GLUED.search(text):
-            text = text.replace(". ", " \0. ").replace(", ", " \0, ")
+            text = text.replace(". ", " \t. ").replace(", ", " \t, ")
         return [line.split(" ") for line in text.split("\n")]
 
     def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
@@ -192,7 +193,7 @@ class UnitTokenizer:
         self._learn(first, [u for u in {line[0] for s in split for line in s} | {"\n"} if u not in first], "")
         missing: set[str] = set()
         missing.update(*[line[1:] for s in split for line in s])
-        self._learn(rest, [u for u in missing if u not in rest and u[:1] != "\0"], " ")
+        self._learn(rest, [u for u in missing if u not in rest and u[:1] != "\t"], " ")
         rest |= self.marks
         get, end = rest.__getitem__, first["\n"]
         return [end.join([first[line[0]] + b"".join(map(get, line[1:])) for line in s]) for s in split]

@@ -81,6 +81,13 @@ def test_units_are_the_librarys(name, kind):
         assert np.frombuffer(u.encode([t])[0], u.dtype).tolist() == u.tk.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_that_begin_with_nul(name, kind):
+    u = common.UnitTokenizer(vocabulary(name), kind)
+    for t in ["a \0b", "a \0. b", "a \0, b \0.", "a. \0. b, c", "\0. b", "ab. cd", "a \0", "x  \0b \0. c", "a\n\0. b", "\t. b\tc d, e", "a b\t. c", "ab \t. cd"]:
+        assert np.frombuffer(u.encode(["ab. cd, ef", t])[1], u.dtype).tolist() == u.tk.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
