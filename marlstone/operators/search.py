@@ -104,19 +104,31 @@ class ClusteredIndex:
         assigned.repartition("cluster", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("cluster").mode("overwrite").parquet(path)
         return cls(df.sparkSession, path, key, column, centres, len(centres[0]), quantised)
 
-    def search(self, query: Sequence[float], k: int, config: SearchConfig | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, config: SearchConfig | None = None, exact: bool = False) -> DataFrame:
+        """The k nearest rows of the probed clusters; of a quantised index those among the candidates.  With ``exact``
+        the search goes past the candidates, to every row whose signs allow a score as high as the k-th of theirs."""
         config = config or SearchConfig.default()
         norm = sum(v * v for v in query) ** 0.5
         near = sorted(range(len(self.centres)), key=lambda i: sum((a / norm - b) ** 2 for a, b in zip(query, self.centres[i])))
         rows = self.spark.read.parquet(self.path).filter(F.col("cluster").isin(near[: config.clusters]))  # prunes partitions
         if self.quantised:
             apart = T.bits_apart(F.col("__bits"), T.sign_bits(T.vector(query), self.size))
-            rows = rows.withColumn("__d", apart).orderBy("__d", self.key).limit(max(k, int(k * config.rerank * 4)))
+            near = rows.withColumn("__d", apart).orderBy("__d", self.key).limit(max(k, int(k * config.rerank * 4)))
+            if exact:
+                # where signs differ, products are 0 at most: the rest of the query's length bounds the cosine
+                found = cosine_top_k(near, self.column, query, k, self.key)
+                least = found.agg(F.when(F.count("score") >= k, F.min("score")).alias("__least"))
+                same = F.aggregate(F.zip_with(F.col(self.column), T.vector(query), lambda v, q: F.when((v > 0) == (q > 0), q.cast("double") * q).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+                near = rows.join(F.broadcast(least)).filter(F.col("__least").isNull() | (F.sqrt(same) / norm + 1e-6 >= F.col("__least")))  # one row
+            rows = near
         return cosine_top_k(rows, self.column, query, k, self.key)
 
 
-def pooled_top_k(df: DataFrame, column: str, query: Sequence[Sequence[float]], k: int, key: str, config: SearchConfig | None = None) -> DataFrame:
-    """Matrices: mean rows choose k * rerank * 4 candidates by cosine, MAXSIM ranks those."""
+def pooled_top_k(df: DataFrame, column: str, query: Sequence[Sequence[float]], k: int, key: str, config: SearchConfig | None = None, exact: bool = False) -> DataFrame:
+    """Matrices: mean rows choose k * rerank * 4 candidates by cosine, MAXSIM ranks those.  Mean rows bound no MAXSIM, so
+    with ``exact`` every row is ranked."""
+    if exact:
+        return maxsim_top_k(df, column, query, k, key)
     config = config or SearchConfig.default()
     pooled = [sum(r[j] for r in query) / len(query) for j in range(len(query[0]))]
     near = top_k(df, T.cosine_const(T.mean_rows(F.col(column)), pooled), max(k, int(k * config.rerank * 4)), key).drop("score")

@@ -208,14 +208,14 @@ def vec_clustered_search(spark, t):
 @query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC LIMIT 5")
 def vec_quantised_search(spark, t):
     index = search.ClusteredIndex.build(t["embeddings"], "vec_id", "embedding", work_path(spark, "clusters"), clusters=8, quantised=True)
-    return rounded(index.search(_Q, 5, search.SearchConfig(8, 50.0)), "score")
+    return rounded(index.search(_Q, 5, search.SearchConfig(8, 50.0), exact=True), "score")
 
 
 @query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in (1, 5, 9))})" for r in _M) + " AS score FROM embeddings) ORDER BY score DESC LIMIT 10")
 def vec_pooled_search(spark, t):
-    """Matrices ranked by MAXSIM among candidates by their mean rows; as many candidates as rows make it exact."""
+    """Matrices ranked by MAXSIM, all of them: candidates by their mean rows would make it inexact on large tables."""
     m = t["embeddings"].select("vec_id", F.array(*(F.slice("embedding", a, 4) for a in (1, 5, 9))).alias("m"))
-    return rounded(search.pooled_top_k(m, "m", _M, 10, "vec_id", search.SearchConfig(10, 1e5)), "score")
+    return rounded(search.pooled_top_k(m, "m", _M, 10, "vec_id", search.SearchConfig(10, 1e5), exact=True), "score")
 
 
 @query(f"SELECT label, vec_id, round(s, 6) AS score, CAST(r AS BIGINT) AS rank FROM (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM (SELECT *, {_COS} AS s FROM embeddings)) WHERE r <= 3")

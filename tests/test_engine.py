@@ -410,6 +410,20 @@ def test_clustered_recall(spark, quantised):
     assert hit / n >= 0.9
 
 
+def test_quantised_search_past_its_candidates(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = search.ClusteredIndex.build(e, "vec_id", "embedding", paths.work_path(spark, "cl"), clusters=8, quantised=True)
+    m = e.select("vec_id", F.array(*(F.slice("embedding", a, 4) for a in (1, 5, 9))).alias("m"))
+    for q in e.filter("vec_id in (100, 700)").collect():
+        for sign in (1.0, -1.0):
+            v = [sign * x for x in q.embedding]
+            want = [r.vec_id for r in search.cosine_top_k(e, "embedding", v, 10, "vec_id").collect()]
+            assert [r.vec_id for r in index.search(v, 10, search.SearchConfig(8, 0.25), exact=True).collect()] == want
+        rows = [list(q.embedding[:4]), list(q.embedding[4:8])]
+        want = [r.vec_id for r in search.maxsim_top_k(m, "m", rows, 10, "vec_id").collect()]
+        assert [r.vec_id for r in search.pooled_top_k(m, "m", rows, 10, "vec_id", search.SearchConfig(10, 1.0), exact=True).collect()] == want
+
+
 def test_storage(spark):
     uri = paths.work_path(spark, "files")
     w = Writer(uri)
