@@ -21,6 +21,8 @@ _BLOCK = _LEAF | set("address article aside blockquote body caption center dd de
 #: What an opening tag closes, up to an element that bounds the search.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, {"html"})}
 _OUT = {"nav", "footer", "aside", "form", "button", "select", "datalist", "template", "svg", "math", "dialog", "menu", "head", "object", "canvas", "audio", "video", "search", "fieldset"}
+#: Of those, the ones that may wrap a whole page; like names, they do not take out what holds the article.
+_WRAPS = {"form", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist", "status"}
 _NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars navbar nav navigation menu menus submenu breadcrumb breadcrumbs topbar toolbar footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification notifications popup popups modal overlay lightbox newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations widget widgets pagination pager copyright disclaimer skip".split())
 _HEAD_NAMES = {"header", "masthead", "head"}
@@ -29,14 +31,15 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class _Element:
-    __slots__ = ("tag", "name", "out", "head", "parent", "main", "link")
+    __slots__ = ("tag", "name", "out", "named", "head", "parent", "main", "link")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
         self.tag, self.parent, self.name = tag, parent, tag
         self.out, self.head = (parent.out, parent.head) if parent else (False, False)
         self.main = tag in ("article", "main") or bool(parent and parent.main)
         self.link = tag == "a" or bool(parent and parent.link)
-        if tag in _OUT:
+        self.named = tag in _WRAPS  # out by this element's own name, unless it holds the article
+        if tag in _OUT and not self.named:
             self.out = True
         if tag == "header":
             self.head = True
@@ -47,7 +50,8 @@ class _Element:
                 self.name = f"{tag}.{named.strip()}"
             words = {w.lower() for w in _WORDS.findall(named)}
             if tag not in ("html", "body"):
-                self.out |= bool(words & _NAMES) or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None
+                self.named |= bool(words & _NAMES)
+                self.out |= a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None
                 self.head |= bool(words & _HEAD_NAMES) and tag not in ("article", "main")
                 if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
                     self.main = True
@@ -162,25 +166,53 @@ def _chain(b: _Text) -> Iterator[_Element]:
         e = e.parent
 
 
-def _candidate(b: _Text) -> bool:
-    if b.at.out:
-        return False
+def _plain(blocks: list[_Text]) -> int:
+    """Characters outside of links."""
+    return sum(len(b.text) - b.links for b in blocks)
+
+
+def _candidates(all_blocks: list[_Text]) -> list[_Text]:
+    """Blocks that no tag, role or name takes away.
+
+    A name, form or fieldset takes nothing away that holds over half of the page's text outside of links, where it holds
+    the page's first heading or article too, or leaves less than a quarter of that text without any; and nothing at all where little is left.
+    """
     # the heading of an article stays where its header goes
-    return not b.at.head or (b.at.main and any(e.tag in _HEADING for e in _chain(b)))
+    shown = [b for b in all_blocks if not b.at.out and (not b.at.head or (b.at.main and any(e.tag in _HEADING for e in _chain(b))))]
+    under: dict[int, list[_Text]] = {}
+    for b in shown:
+        for e in _chain(b):
+            if e.named:
+                under.setdefault(id(e), []).append(b)
+    if not under:
+        return shown
+    titles = lambda blocks: any(b.at.main or any(e.tag == "h1" for e in _chain(b)) for b in blocks)
+    left = [b for b in shown if not any(e.named for e in _chain(b))]
+    held = lambda blocks: _plain([b for b in blocks if not any(e.tag in _HEADING for e in _chain(b))])
+    rest, total = held(left), _plain(shown)
+    titled = rest > 0 and titles(left)
+    wraps = {k for k, v in under.items() if 2 * _plain(v) > total and not titled and (titles(v) or 4 * rest < _plain(v))}
+    if wraps:
+        left = [b for b in shown if not any(e.named and id(e) not in wraps for e in _chain(b))]
+        rest, titled = held(left), titles(left)
+    return shown if not rest or (10 * rest < total and not titled) else left
 
 
 def content(all_blocks: list[_Text], share: float = 0.25, hold: float = 0.7) -> list[_Text]:
     """The content blocks.
 
-    Menus, adverts and the like that their tags, roles or names give away go first.  For each tag path the others
+    Menus, adverts and the like that their tags, roles or names give away go first, but no element that holds the article.
+    Articles and mains go before other blocks where they hold half of the text outside of links.  For each tag path the others
     give the mean text and the mean punctuation of its nodes; the values, laid out in page order, are smoothed, fused
     by product, and the paths of at least ``share`` of the greatest are content.  The deepest element with ``hold`` of
     the content's text holds the article: its other blocks belong to it, but for lists of links.
     """
-    left = [b for b in all_blocks if _candidate(b)]
+    left = _candidates(all_blocks)
     if not left:
         return []
     mains = [b for b in left if b.at.main]
+    if 2 * _plain(mains) < _plain(left):
+        mains = []  # cards beside a story that is in no article
     if mains:
         left = mains
     sums: dict[tuple, list[int]] = {}

@@ -325,6 +325,22 @@ def test_html(tags):
     assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])) == TEXT
 
 
+@pytest.mark.parametrize("tags", [('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm"><div class="no-sidebar with-nav">', "</div></form>"), ('<fieldset class="story">', "</fieldset>")])
+def test_html_page_in_a_named_wrapper(tags):
+    assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])) == TEXT
+
+
+def test_html_story_beside_cards():
+    story = "".join(f"<p>Paragraph {i} of the story, which goes on, and on, for a while.</p>" for i in range(8))
+    got = html_text.main_text(f'<body><div class="story"><h1>Story</h1>{story}</div><article class="card"><p>A card, short.</p></article></body>')
+    assert all(f"Paragraph {i} of" in got for i in range(8))
+    parts = "".join(f'<div class="widget"><p>Part {i} of the text, in a widget of its own.</p></div>' for i in range(5))
+    assert all(f"Part {i} of" in html_text.main_text(f"<body>{parts}</body>") for i in range(5))
+    assert all(f"Paragraph {i} of" in html_text.main_text(f'<body><div><h1>Site</h1></div><div class="with-nav">{story}</div></body>') for i in range(8))
+    comments = "<p>Comment, rather long, of someone who has read the article.</p>" * 20
+    assert html_text.main_text(f'<body><div><h1>T</h1><p>Short article, of one line.</p></div><div id="comments">{comments}</div></body>') == "T\nShort article, of one line."
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE.format(open="<article>", close="</article>")), (2, None, None), (3, "v", ""), (None, "w", "plain text only."), (4, "x", "<p>unclosed <b>bold<p>and more, of it."), (1, "u", "<nav><a>menu</a></nav>"), (5, "y", "<script>" * 3), (6, "z", "<article>" + "<p>long text, here.</p>" * 5000 + "</article>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
