@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_kept: list[str] = []
 #: A full stop or comma that ends a word of other signs: those may be one piece together.
 _GLUED = re.compile(r"[.,\0](?:(?<=\0)| (?:(?<=[\W_]..)|(?<=\A..)))")
 #: White space other than spaces and line ends: among ASCII signs, and beyond.
@@ -21,10 +22,13 @@ _WIDE_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr,
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where the session names none and all runs in
+    one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
     return _own_dir[0]
@@ -39,9 +43,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` wrote in this process, once their readers are done; the number deleted."""
+    jvm, n = spark._jvm, 0
+    while _kept:
+        path = jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,10 +97,12 @@ class UnitTokenizer:
     A unit is a run between separators at which the vocabulary's pre-tokenizer always cuts, so the ids of a text
     are those of its units in order.  ``kind`` "byte": cuts around a line end and before a space that stands
     alone between non-spaces; the space stays with the word after it.  ``kind`` "word": cuts at ASCII white space, which that vocabulary drops.
-    The cache is emptied at ``limit`` entries, so its memory is bounded.
+    The cache is emptied at ``limit`` entries, so its memory is bounded.  A text with a sign that may begin a special
+    token of the vocabulary goes to the library whole; the library's settings stay as the file has them, unless
+    ``specials_as_text``, with which the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 800_000):
+    def __init__(self, path: str, kind: str, limit: int = 800_000, specials_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,7 +112,9 @@ class UnitTokenizer:
         self.np, self.tk, self.kind, self.limit = np, Tokenizer.from_file(path), kind, limit
         self.tk.no_padding()
         self.tk.no_truncation()
-        self.tk.encode_special_tokens = True
+        self.tk.encode_special_tokens = specials_as_text
+        # what every special token begins with: texts without it hold none
+        self.special = os.path.commonprefix([t.content for t in self.tk.get_added_tokens_decoder().values()]) if not specials_as_text else None
         self.dtype = np.dtype("<u2") if self.tk.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         (self.sep,) = self.tk.encode("\1", add_special_tokens=False).ids
         # split-off stops and commas: a tab begins no unit after a cut, as what follows one is no white space
@@ -185,6 +203,13 @@ class UnitTokenizer:
         if len(self.rest) + len(self.first) > self.limit:
             self.first.clear()
             self.rest.clear()
+        if self.special is not None and any(self.special in t for t in texts):
+            # an empty beginning in common is in every text
+            out = self.encode([t if self.special not in t else "" for t in texts]) if self.special else [b""] * len(texts)
+            at = [i for i, t in enumerate(texts) if self.special in t]
+            for i, e in zip(at, self.tk.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)):
+                out[i] = self.np.array(e.ids, self.dtype).tobytes()
+            return out
         split = [self._units(t) for t in texts]
         first, rest = self.first, self.rest
         if self.kind == "word":

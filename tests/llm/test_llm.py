@@ -24,7 +24,7 @@ def texts(seed=3):
     r = random.Random(seed)
     say = lambda n: " ".join(r.choice(WORDS) + str(r.randint(0, 60)) for _ in range(n))
     shared, base = say(60), say(150)
-    out = [None, "", "  \n\t ", "one", "one two", "one two three", base, base, base + " more", shared + " " + say(40), say(30) + "\n" + shared, say(3000), "x" * 199, "x" * 230, "é" * 150, "a\x00b c", "l1\nl1\n\nl1\nl2 #*$%&|<> l2", say(80) + "\n" + say(80)]
+    out = [None, "", "  \n\t ", "one", "one two", "one two three", base, base, base + " more", shared + " " + say(40), say(30) + "\n" + shared, say(3000), "x" * 199, "x" * 230, "é" * 150, "a \x00b. c <|endoftext|> d", "l1\nl1\n\nl1\nl2 #*$%&|<> l2", say(80) + "\n" + say(80)]
     words = base.split()
     for k in (5, 50, 100):
         words = [*words]
@@ -73,19 +73,25 @@ def test_token_files(spark, docs, none):
     assert token_files.read_token_files(token_files.write_token_files(none, out, path), out).collect() == []
 
 
-@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_units_are_the_librarys(name, kind):
-    u = common.UnitTokenizer(vocabulary(name), kind, limit=50)
-    odd = ["a  b", " a", "a ", "\n\na b\n c", "it's 's ''s", "a　b", "É é", "a\tb\r\nc  d", "ΑΣ ΑΣ.", "é. b", "ab.. cd", "x_. y", ". a", '"a". b', "a\x00b. c", "1. 2, 3", "", " ", "\x85 a", "ab. cd, ef.\nGh", "İ. x"]
-    for t in odd + [x or "" for x in texts()]:
-        assert np.frombuffer(u.encode([t])[0], u.dtype).tolist() == u.tk.encode(t, add_special_tokens=False).ids
+PIECES = ["a", "b", "The", "é", "İ", "ΑΣ", "\0", "\1", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff", ".", ",", ". ", ", ", "'s", "-", "_", "12", "²", "ﬁ", "中", "🙂", "#", '"', "x.y", "...", "</w>", "Ġ", "running"]
 
 
 @pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_units_that_begin_with_nul(name, kind):
-    u = common.UnitTokenizer(vocabulary(name), kind)
-    for t in ["a \0b", "a \0. b", "a \0, b \0.", "a. \0. b, c", "\0. b", "ab. cd", "a \0", "x  \0b \0. c", "a\n\0. b", "\t. b\tc d, e", "a b\t. c", "ab \t. cd"]:
-        assert np.frombuffer(u.encode(["ab. cd, ef", t])[1], u.dtype).tolist() == u.tk.encode(t, add_special_tokens=False).ids
+def test_units_are_the_librarys(name, kind):
+    """Against a tokenizer of its own with the settings of its file: NUL, special tokens and every white space anywhere."""
+    from tokenizers import Tokenizer
+
+    u, tk, r = common.UnitTokenizer(vocabulary(name), kind, limit=500), Tokenizer.from_file(vocabulary(name)), random.Random(5)
+    odd = ["a  b", " a", "a ", "\n\na b\n c", "it's 's ''s", "a　b", "É é", "a\tb\r\nc  d", "ΑΣ ΑΣ.", "é. b", "ab.. cd", "x_. y", ". a", '"a". b', "a\x00b. c", "1. 2, 3", "", " ", "\x85 a", "ab. cd, ef.\nGh", "İ. x"]
+    odd += ["a \0b", "a \0. b", "a \0, b \0.", "a. \0. b, c", "\0. b", "a \0", "x  \0b \0. c", "a\n\0. b", "\t. b\tc d, e", "a b\t. c", "ab \t. cd", "say <|endoftext|> now"]
+    odd += ["".join(r.choice(PIECES) + " " * (r.random() < 0.4) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    for at in range(0, len(odd), 50):
+        for t, e, w in zip(odd[at : at + 50], u.encode(odd[at : at + 50]), tk.encode_batch(odd[at : at + 50], add_special_tokens=False)):
+            assert np.frombuffer(e, u.dtype).tolist() == w.ids, t
+    for t in texts():
+        assert np.frombuffer(u.encode([t or ""])[0], u.dtype).tolist() == tk.encode(t or "", add_special_tokens=False).ids
+    plain = common.UnitTokenizer(vocabulary(name), kind, specials_as_text=True)
+    assert len(plain.encode(["<|endoftext|>"])[0]) > plain.dtype.itemsize
 
 
 def test_packing(spark, docs, none):
