@@ -73,14 +73,16 @@ def write_archives(pages: DataFrame, out_uri: str, level: int = 3, dict_kb: int
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
-    groups = own.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    rows = own.join(groups.select("digest", "first"), "digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    narrow = own.filter(F.length("payload") >= least).select("page_id", "digest")
+    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # the digest of a very common page is a hot key: only ids and digests meet on it, payloads by page
+    again = narrow.join(groups, "digest").filter("first is not null and not page_id <=> first").distinct()
+    rows = own.alias("o").join(again.alias("g"), F.expr("o.page_id <=> g.page_id and o.digest = g.digest"), "left")
+    rows = rows.select("o.page_id", "url", "payload", "o.digest", F.col("first").alias("refers_to"))
     return C.stored(C.map_arrow(rows, partial(_write, out_uri=out_uri, level=level, dict_kb=dict_kb), "path string, records long"), "warc-meta")
 
 
-def frames(f, size: int) -> Iterator[bytes]:
+def frames(f) -> Iterator[bytes]:
     """The contents of each frame of an open archive, after its dictionary; raises ValueError where it is not whole."""
     import zstandard as zstd
 
@@ -147,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, p = C.open_fs(path)
             rows, n = [], 0
             with fs.open_input_stream(p) as f:
-                for r in frames(f, 0):
+                for r in frames(f):
                     rows.append(parse(r))
                     n += 1
                     if len(rows) == 5000:
