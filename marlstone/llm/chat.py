@@ -73,20 +73,16 @@ def collapse(turns: DataFrame, template: str = "<|{role}|>\n{text}\n", end: str
 
     A conversation whose turns (role and text, in order of turn) begin a longer one's is a snapshot of it and goes;
     of equal ones that with the smallest conv_id stays.  Rolling hashes of prefixes (SHA-256) find both by an
-    anti-join on distinct hashes, so a first turn that very many share is one row.  A null role or text is empty;
+    anti-join with distinct hashes on both sides, so a first turn or a conversation that very many share is one row.  A null role or text is empty;
     a null conv_id is a conversation; equal turn numbers are ordered by role and text; no rows give none.
     """
     rows = C.pick(turns, "conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     rows = rows.select("conv_id", "role", "text")
     prefixes = C.stored(C.map_arrow(rows, _roll, PREFIXES), "prefixes")
-    whole = prefixes.filter("last")
-    longest = whole.join(prefixes.filter("not last").select("prefix").distinct(), "prefix", "left_anti")
-    one = longest.groupBy("prefix").agg(F.min("conv_id").alias("conv_id"))
-    some = longest.filter("conv_id is not null").select("prefix").distinct()
-    # min() skips nulls: a null conv_id stays only where no numbered conversation is equal
-    named = one.filter("conv_id is not null").select("conv_id")
-    unnamed = one.join(some, "prefix", "left_anti").select("conv_id")
-    keep = named.union(unnamed)
+    # equal conversations are one row before they are looked up; min() skips nulls, so a null conv_id stays only where
+    # no numbered conversation is equal
+    whole = prefixes.filter("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"))
+    keep = whole.join(prefixes.filter("not last").select("prefix").distinct(), "prefix", "left_anti").select("conv_id")
     kept = turns.select("conv_id", "turn", "role", "text").alias("t").join(keep.alias("k"), F.expr("t.conv_id <=> k.conv_id"), "left_semi")
     kept = kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return C.map_arrow(kept, partial(_render, template=template.replace("{text}", "{text}"), end=end), RENDERED)
+    return C.map_arrow(kept, partial(_render, template=template, end=end), RENDERED)
