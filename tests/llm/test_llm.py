@@ -432,6 +432,22 @@ def test_decontamination(spark, docs, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decontamination_of_shared_items(spark, monkeypatch):
+    """One-word items, an item that a thousand ids share, repeated and null ids, and shingles looked up by a shuffle."""
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    shared = say(14)
+    items = [(i, shared) for i in range(1000)] + [(2000, "kappa"), (2001, "of and"), (2002, say(40)), (None, "alpha"), (2003, None)]
+    rows = [(i % 7 if i % 5 else None, say(r.randint(0, 60)) + (" " + shared if i % 3 == 0 else "")) for i in range(60)] + [(1, "kappa"), (1, "kappa"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_windows([(i, t or "") for i, t in rows], items)
+    assert key(map(tuple, decontaminate.report(docs, bench).collect())) == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert key(map(tuple, decontaminate.report(docs, bench).collect())) == want
+    assert decontaminate.clean(docs, bench).count() == sum(not x[-1] for x in want)
+
+
 def brute_measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
