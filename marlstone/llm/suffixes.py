@@ -1,10 +1,9 @@
 """Exact-substring dedup: repeated strings of a fixed length, found with suffix arrays over the contexts that can hold one.
 
 A corpus-wide suffix array needs every text in one order.  Instead each window of LENGTH bytes is given to an anchor,
-the K-gram in it with the least hash, so equal windows have equal anchors at equal places.  Anchors that occur once
-hold no repeated window.  Anchors whose windows all have the same bytes around them are settled by a 128-bit hash;
-the rest send those bytes, each to the task of its anchor, where a two-stage suffix sort and the common prefixes of
-neighbours decide.
+the K-gram in it with the least hash, so equal windows have equal anchors.  Anchors that occur once hold no repeated
+window.  The bytes around each of the others go to the task of their anchor, where a two-stage suffix sort and the
+common prefixes of neighbours decide.  What a task holds twice by itself is compared byte for byte and goes on once.
 """
 
 from __future__ import annotations
@@ -23,8 +22,9 @@ from . import common as C
 LENGTH, K = 200, 96
 WINDOW = LENGTH - K + 1
 CHUNK = 1 << 21
-#: Distinct contexts of one anchor beyond which its windows are dealt out one by one and counted by a 128-bit hash.
-SPLIT = 20_000
+#: Contexts of one anchor beyond which its windows are dealt out one by one and counted by a 128-bit hash (BLAKE2), and
+#: such contexts in one run of texts, of HELD bytes, beyond which they do not even travel to their anchor.
+SPLIT, LOCAL, HELD = 1000, 100, 1 << 26
 
 _U = np.uint64
 _RNG = np.random.default_rng(7)
@@ -115,132 +115,157 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-# doc_id, a hash that tells rows with equal doc_ids apart, first and last window, anchor's distance from the first
-ROWS = "doc_id long, own int, first int, last int"
+# A row of a table is known by two hashes of doc_id and text, 128 bits; equal rows share their repeated strings.
+RUN = "anchor long, own1 long, own2 long, place long"
+SETTLED, DEALT, HOT = 1, 2, -1
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of a task's runs, one for each bucket of anchors; runs with the same bytes are one, marked as repeated, and
-    the windows of those that it stands for come out as settled (bucket -1 - b)."""
-    got: list[tuple[np.ndarray, ...]] = []
-    ids, null, own, base = [], [], [], 0
-    for b in batches:
-        texts = C.binary(b.column(2))
-        row, first, last, at, h, c = anchor_runs(texts)
-        got.append((row + base, first.astype(np.int32), last.astype(np.int32), (at - first).astype(np.uint8), h, c))
-        ids.append(b.column(0).fill_null(0).to_numpy())
-        null.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
-        own.append(b.column(1).to_numpy())
-        base += b.num_rows
-    if not got:
-        return
-    row, first, last, back, h, c = (np.concatenate(x) for x in zip(*got))
-    got.clear()
-    ids, null, own = np.concatenate(ids), np.concatenate(null), np.concatenate(own)
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a are those from b, byte for byte."""
+    out, at = np.empty(len(a), bool), np.arange(LENGTH + WINDOW)
+    for lo in range(0, len(a), 1 << 14):
+        k = slice(lo, lo + (1 << 14))
+        inside = at < n[k, None]
+        x, y = (data[np.minimum(i[k, None] + at, len(data) - 1)] for i in (a, b))
+        out[k] = ((x == y) | ~inside).all(1)
+    return out
+
+
+def _collapsed(texts: list[bytes], own1: np.ndarray, own2: np.ndarray) -> pa.RecordBatch | None:
+    """The runs of some texts.  Of runs with the same bytes one goes on, and the windows of all of them are settled;
+    an anchor with over LOCAL different runs is marked hot, and those are dealt out by themselves."""
+    row, first, last, _, h, c = anchor_runs(texts)
+    if not len(row):
+        return None
+    begin = np.cumsum([0] + [len(t) for t in texts])
     order = np.lexsort((c, h))
-    row, first, last, back, h, c = (x[order] for x in (row, first, last, back, h, c))
+    row, first, last, h, c = (x[order] for x in (row, first, last, h, c))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    kind = np.cumsum(new) - 1
-    many = np.bincount(kind, minlength=1)[kind] > 1 if len(kind) else new
-    bucket = (h % _U(parts)).astype(np.int32)
-    settled = np.flatnonzero(many)
-    rows = np.flatnonzero(new)
-    rows = rows[np.argsort(bucket[rows], kind="stable")]
-    cuts = np.searchsorted(bucket[rows], np.arange(parts + 1))
-    blobs, keys = [], []
-    for b in range(parts):
-        r = rows[cuts[b] : cuts[b + 1]]
-        if len(r):
-            keys.append(b)
-            blobs.append(_packed(h[r], c[r], ids[row[r]], null[row[r]], own[row[r]], first[r], last[r], back[r], many[r]))
-    for k, part in enumerate(np.array_split(settled, max(1, len(settled) // 50_000))):
-        if len(part):
-            keys.append(-1 - k % parts)
-            blobs.append(_packed(ids[row[part]], null[row[part]], own[row[part]], first[part], last[part]))
-    for k, blob in zip(keys, blobs):
-        yield pa.RecordBatch.from_arrays([pa.array([k if k >= 0 else -1 - k], pa.int32()), pa.array([k >= 0]), pa.array([blob], pa.binary())], ["bucket", "open", "blob"])
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, bytes of equal weight together, so that the shuffle's compression sees the small ones."""
-    n = len(arrays[0])
-    return n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T).tobytes() for a in arrays)
-
-
-def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
-        at += n * size
-    return out
+    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    again = np.flatnonzero(~new)
+    if len(again):
+        data, at, n = np.frombuffer(b"".join(texts), np.uint8), begin[row] + first, last - first + LENGTH
+        new[again[(n[again] != n[head[again]]) | ~_same(data, at[again], at[head[again]], n[again])]] = True
+    again = np.flatnonzero(~new)
+    settled = np.union1d(again, head[again])
+    open_ = np.flatnonzero(new)
+    # one that only repeats what is settled still serves others
+    g = h[open_]
+    many = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    size = np.diff(np.append(many, len(g)))
+    hot = np.repeat(size > LOCAL, size)
+    place = (first.astype(np.int64) << 16) | ((last - first).astype(np.int64) << 8)
+    key = h.copy()
+    spread = _mix(own1[row].view(_U) + place.astype(_U) * _U(0xA24BAED4963EE407))
+    dealt = open_[hot]
+    key[dealt] = spread[dealt]
+    tops = g[many[size > LOCAL]]
+    keys = np.concatenate([key[open_], spread[settled], tops])
+    places = np.concatenate([place[open_] | np.where(hot, DEALT, 0), place[settled] | SETTLED, np.full(len(tops), HOT)])
+    none = np.zeros(len(tops), np.int64)
+    rows = [np.concatenate([o[row[open_]], o[row[settled]], none]) for o in (own1, own2)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), *rows, places)], ["anchor", "own1", "own2", "place"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each HELD bytes of text and what they settle by themselves; one text may be longer."""
+    texts, own, size = [], [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        out = _collapsed(texts, *(np.concatenate(x) for x in zip(*own)))
+        for lo in range(0, out.num_rows if out else 0, 1 << 16):
+            yield out.slice(lo, 1 << 16)
 
-
-FOUND = "doc_id long, own int, first int, last int, kind int, anchor long, back int"
+    for b in batches:
+        texts += C.binary(b.column(2))
+        own.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += sum(map(len, texts[-b.num_rows :])) if b.num_rows else 0
+        if size > HELD:
+            yield from done()
+            texts, own, size = [], [], 0
+    if texts:
+        yield from done()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: kind 0, windows that are repeated for certain; kinds 1 and 2, runs whose bytes are to be compared
-    (2: window by window); 3 and 4, the same of a run that is repeated itself and only serves others."""
-    names = ["doc_id", "own", "first", "last", "kind", "anchor", "back"]
+FOUND = "own1 long, own2 long, first int, last int, kind int, anchor long"
 
-    def rows(ids, null, own, first, last, kind, anchor, back) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(ids), 100_000):
-            s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64(), mask=null[s]), pa.array(own[s], pa.int32()), pa.array(first[s], pa.int32()), pa.array(last[s], pa.int32()), pa.array(kind[s], pa.int32()), pa.array(anchor[s], pa.int64()), pa.array(back[s], pa.int32())], names)
 
-    held: dict[int, list[bytes]] = {}
+def _groups(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by anchor and place: kind 0, windows that are repeated for certain; 1, runs whose bytes are to be
+    compared; 2, the same window by window, of anchors with over ``split`` runs or marked hot.  At most ``split`` runs
+    of one anchor, and a batch, are held."""
+    names, kinds = ["own1", "own2", "first", "last", "kind", "anchor"], (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64)
+
+    def rows(x: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        first = x[3] >> 16
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip((x[1], x[2], first, first + (x[3] >> 8 & 255), kind, x[0]), kinds)], names)
+
+    def whole(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole groups."""
+        first = np.flatnonzero(np.concatenate(([True], x[0, 1:] != x[0, :-1])))
+        size = np.diff(np.append(first, x.shape[1]))
+        hot = np.repeat((x[3, first] == HOT) | (size > split), size)
+        use = (hot | (np.repeat(size, size) > 1)) & (x[3] != HOT)
+        if use.any():
+            yield rows(x[:, use], np.where(hot[use], 2, 1))
+
+    held, split_off = np.empty((4, 0), np.int64), None
     for b in batches:
-        for bucket, is_open, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if is_open:
-                held.setdefault(bucket, []).append(blob)
-            else:
-                ids, null, own, first, last = _unpacked(blob, np.int64, np.bool_, np.int32, np.int32, np.int32)
-                zero = np.zeros(len(ids), np.int64)
-                yield from rows(ids, null, own, first, last, zero, zero, zero)
-    for bucket in list(held):
-        parts = [_unpacked(x, _U, _U, np.int64, np.bool_, np.int32, np.int32, np.int32, np.uint8, np.bool_) for x in held.pop(bucket)]
-        h, c, ids, null, own, first, last, back, many = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(h, kind="stable")
-        size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0))), len(h)))
-        order = order[np.repeat(size, size) > 1]  # anchors that occur once hold nothing that other tasks repeat
-        h, c, ids, null, own, first, last, back, many = (x[order] for x in (h, c, ids, null, own, first, last, back, many))
-        if not len(h):
+        x = np.stack([c.to_numpy() for c in b.columns])
+        for tag, kind in ((SETTLED, 0), (DEALT, 2)):
+            own = (x[3] != HOT) & (x[3] & 255 == tag)
+            if own.any():
+                yield rows(x[:, own], np.full(own.sum(), kind))
+                x = x[:, ~own]
+        if split_off is not None:
+            own = x[0] == split_off
+            if own.any():
+                yield rows(x[:, own], np.full(own.sum(), 2))
+                x = x[:, ~own]
+        x = np.concatenate([held, x], 1)
+        if not x.shape[1]:
+            held = x
             continue
-        order = np.lexsort((c, h))
-        h, c, ids, null, own, first, last, back, many = (x[order] for x in (h, c, ids, null, own, first, last, back, many))
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
-        g, k = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        repeated = (np.bincount(k)[k] > 1) | many
-        classes = np.bincount(g[new_c])[g]
-        zero = np.zeros(len(h), np.int64)
-        s = np.flatnonzero(repeated & ~many)  # what a task repeats by itself it has settled
-        yield from rows(ids[s], null[s], own[s], first[s], last[s], zero[s], zero[s], zero[s])
-        s = np.flatnonzero(new_c & (classes > 1))
-        kind = np.where(classes > split, 2, 1) + 2 * repeated
-        yield from rows(ids[s], null[s], own[s], first[s], last[s], kind[s], h[s].view(np.int64), back[s].astype(np.int32))
+        cut = int(np.searchsorted(x[0], x[0, -1]))
+        if cut:
+            yield from whole(x[:, :cut])
+        held = x[:, cut:]
+        if held.shape[1] > split:
+            split_off = held[0, 0]
+            held = held[:, held[3] != HOT]
+            yield rows(held, np.full(held.shape[1], 2))
+            held = held[:, :0]
+    if held.shape[1]:
+        yield from whole(held)
 
 
-CONTEXT = "anchor long, context binary, windows int, doc_id long, own int, first int, only boolean"
+CONTEXT = "anchor long, context binary, windows int, own1 long, own2 long, first int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each run asked for; of a split anchor's runs the 128-bit hash of each window, with 0 for ``windows``."""
-    names = ["anchor", "context", "windows", "doc_id", "own", "first", "only"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    """The bytes of each run asked for; of a split anchor's runs the 128-bit hash of each window, with 0 for ``windows``.
+    A row that ``twice`` says is there again is repeated whole: its last window comes as ``first``, with -1."""
+    names = ["anchor", "context", "windows", "own1", "own2", "first"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    before = None
     for b in batches:
-        rows, size = [], 0
-        for doc_id, own, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.binary(b.column(2)), b.column(3)):
-            for r in runs.as_py():
-                first, last, kind, anchor = r["first"], r["last"], r["kind"], r["anchor"]
-                if kind % 2:
-                    rows.append((anchor, text[first : last + LENGTH], last - first + 1, doc_id, own, first, kind > 2))
+        rows: list[tuple] = []
+        runs, at = b.column(4), 0
+        offsets = runs.offsets.to_numpy()
+        first, last, kind, anchor = (runs.values.field(i).to_numpy().tolist() for i in range(4))
+        for k, (own1, own2, text, twice) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.binary(b.column(2)), b.column(3).to_pylist())):
+            if (own1, own2) == before:  # equal rows: one sends them
+                continue
+            before = own1, own2
+            if twice:
+                rows.append((own1, b"", -1, own1, own2, len(text) - LENGTH))
+            for at in range(offsets[k], offsets[k + 1]):
+                a, z = first[at], last[at]
+                if kind[at] == 1:
+                    rows.append((anchor[at], text[a : z + LENGTH], z - a + 1, own1, own2, a))
                 else:
-                    for i in range(first, last + 1):
-                        rows.append((anchor, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), 0, doc_id, own, i, kind > 2))
+                    rows += [(anchor[at], hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), 0, own1, own2, i) for i in range(a, z + 1)]
                 if len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows.clear()
@@ -257,109 +282,118 @@ def suffix_array(data: bytes, wanted: list[tuple[int, int, int]], depth: int = L
     suffix, from which its last ones are induced, or to the end of its text, where nothing follows, which is smallest.
     Texts are parted by a byte that belongs to none.
     """
-    small, ends, larger, front = [], [], set(), [0] * 257
-    for a, z, end in wanted:
-        e = z
-        while e < end and not (e + 1 < end and data[e] < data[e + 1]):
-            e += 1
-        s_type = e < end
-        if s_type:
-            small.append((e, end))
-        else:
-            ends.append(end - 1)
-        # types from the right: S when smaller than the successor; an equal byte takes the successor's type
-        for i in range(e - 1, a - 1, -1):
-            d, n = data[i], data[i + 1] if i + 1 < end else -1
-            s_type = d < n or (d == n and s_type)
-            if s_type:
-                small.append((i, end))
-            else:
-                larger.add(i)
-                front[d + 1] += 1
-    small.sort(key=lambda x: data[x[0] : min(x[0] + depth + 56, x[1])])
-    small = [i for i, _ in small]
-    begin = [0] * 257
-    for c in range(256):
-        begin[c + 1] = begin[c] + front[c + 1]
-    room = [-1] * len(larger)  # larger suffixes by bucket: within one byte they come before the directly sorted ones
-    at = begin[:]
-    for i in ends:
-        if i in larger:
-            d = data[i]
-            room[at[d]] = i
-            at[d] += 1
-    out, s = [], 0
+    n = len(data)
+    d = np.frombuffer(data, np.uint8).astype(np.int16)
+    after = np.append(d[1:], -1)
+    begin, stop, end = np.array(wanted, np.int64).reshape(-1, 3).T
+    after[end - 1] = -1
+    at = np.arange(n)
+    # smaller than the successor; with an equal byte as the successor itself is
+    is_small = (d < after)[np.minimum.accumulate(np.where(d == after, n, at)[::-1])[::-1]]
+    next_small = np.append(np.minimum.accumulate(np.where(is_small, at, n)[::-1])[::-1], n)
+    reach = next_small[stop]
+    induced = reach < end
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, begin, 1)
+    np.add.at(mark, np.where(induced, reach + 1, end), -1)
+    use = np.cumsum(mark[:-1]) > 0
+    limit = np.zeros(n, np.int64)  # where the text of each place ends
+    limit[begin] = end
+    np.maximum.accumulate(limit, out=limit)
+    first = np.flatnonzero(use & is_small)
+    small = sorted(zip([data[i:z] for i, z in zip(first.tolist(), np.minimum(first + depth, limit[first]).tolist())], first.tolist()))
+    order = [i for _, i in small]
+    large = use & ~is_small
+    larger = large.tobytes() + b"\0"  # the last is what -1 finds
+    front = np.zeros(257, np.int64)
+    front[1:] = np.bincount(d[large], minlength=256)
+    fill = np.cumsum(front).tolist()
+    room = [-1] * int(large.sum())  # larger suffixes by bucket: within one byte they come before the directly sorted ones
+    put = fill[:256]
+    for i in (end[~induced] - 1).tolist():
+        if larger[i]:
+            room[put[data[i]]] = i
+            put[data[i]] += 1
+    edges = np.searchsorted(d[order], np.arange(257)).tolist() if order else [0] * 257
+    out: list[int] = []
     for c in range(256):
-        k = begin[c]
-        while k < at[c]:
+        k = fill[c]
+        while k < put[c]:
             i = room[k]
             k += 1
-            out.append(i)
-            if i - 1 in larger:
-                d = data[i - 1]
-                room[at[d]] = i - 1
-                at[d] += 1
-        while s < len(small) and data[small[s]] == c:
-            i = small[s]
-            s += 1
-            out.append(i)
-            if i - 1 in larger:
-                d = data[i - 1]
-                room[at[d]] = i - 1
-                at[d] += 1
+            if larger[i - 1]:
+                b = data[i - 1]
+                room[put[b]] = i - 1
+                put[b] += 1
+        out += room[fill[c] : put[c]]
+        own = order[edges[c] : edges[c + 1]]
+        for i in own:
+            if larger[i - 1]:
+                b = data[i - 1]
+                room[put[b]] = i - 1
+                put[b] += 1
+        out += own
     return out
 
 
-def repeated_starts(contexts: list[bytes], windows: list[int]) -> list[list[int]]:
+def common_prefixes(data: bytes, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Of each suffix in ``order`` but the last the length of the prefix that it has in common with the next, up to
+    ``depth``, a multiple of 8."""
+    padded = np.frombuffer(data + bytes(depth), np.uint8)
+    at = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    out = np.empty(max(len(order) - 1, 0), np.int64)
+    for lo in range(0, len(out), 1 << 13):
+        x = at[order[lo : lo + (1 << 13) + 1]].view("<u8")
+        x = x[:-1] ^ x[1:]
+        word = (x != 0).argmax(1)
+        bits = x[np.arange(len(x)), word]
+        out[lo : lo + (1 << 13)] = np.where(bits == 0, depth, 8 * word + np.bitwise_count((bits & (~bits + _U(1))) - _U(1)) // 8)
+    return np.minimum(out, len(data) - np.maximum(order[1:], order[:-1]))
+
+
+def repeated_starts(contexts: list[bytes], windows: list[int]) -> list[np.ndarray]:
     """For each context, which of its first ``windows`` places start LENGTH bytes that start at such a place elsewhere."""
-    begin, at = [], 0
-    for c in contexts:
-        begin.append(at)
-        at += len(c) + 1
     data = b"\0".join(contexts)
-    wanted = [(b, b + w, b + len(c)) for b, w, c in zip(begin, windows, contexts)]
-    owner = np.full(len(data) + 1, -1, np.int64)
-    for k, (a, z, _) in enumerate(wanted):
-        owner[a:z] = k
-    order = [i for i in suffix_array(data, wanted) if owner[i] >= 0]
-    out: list[list[int]] = [[] for _ in contexts]
-    marked = set()
-    for a, b in zip(order, order[1:]):
-        if data[a : a + LENGTH] == data[b : b + LENGTH]:  # their common prefix reaches LENGTH
-            marked.add(a)
-            marked.add(b)
-    for i in sorted(marked):
-        k = int(owner[i])
-        out[k].append(i - begin[k])
-    return out
+    size = np.array([len(c) + 1 for c in contexts])
+    begin = np.cumsum(size) - size
+    stop = begin + np.array(windows)
+    owner = np.zeros(len(data) + 1, bool)
+    for a, z in zip(begin.tolist(), stop.tolist()):
+        owner[a:z] = True
+    order = np.array(suffix_array(data, list(zip(begin.tolist(), stop.tolist(), (begin + size - 1).tolist()))), np.int64)
+    order = order[owner[order]] if len(order) else order
+    same = np.flatnonzero(common_prefixes(data, order) >= LENGTH)
+    marked = np.unique(order[np.concatenate([same, same + 1])])
+    cut = np.searchsorted(marked, begin[1:])
+    return [m - b for m, b in zip(np.split(marked, cut), begin.tolist())]
+
+
+SPAN = "own1 long, own2 long, first int, last int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, without the split ones; an anchor's contexts are SPLIT at most, so what is held is bounded."""
-    names = ["doc_id", "own", "first", "last"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    """Of rows sorted by anchor, without those of split anchors: an anchor has SPLIT contexts at most, which with 1 MB of
+    contexts of others and a batch is all that is held."""
+    names = ["own1", "own2", "first", "last"]
 
     def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for (_, _, _, doc_id, own, first, only), starts in zip(rows, repeated_starts([r[1] for r in rows], [r[2] for r in rows])):
-            if starts and not only:
-                a = z = starts[0]
-                for i in starts[1:]:
-                    if i > z + LENGTH:
-                        found.append((doc_id, own, first + a, first + z))
-                        a = i
-                    elif i != z + 1:
-                        found.append((doc_id, own, first + a, first + z))
-                        a = i
-                    z = i
-                found.append((doc_id, own, first + a, first + z))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+        starts = repeated_starts([r[1] for r in rows], [r[2] for r in rows])
+        n = np.array([len(x) for x in starts])
+        if not n.sum():
+            return
+        k, at = np.repeat(np.arange(len(rows)), n), np.concatenate(starts)
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(k) != 0))))
+        a, z, k = at[new], at[np.append(new[1:], len(at)) - 1], k[new]
+        own1, own2, first = (np.array([r[i] for r in rows], np.int64)[k] for i in (3, 4, 5))
+        yield pa.RecordBatch.from_arrays([pa.array(own1), pa.array(own2), pa.array((first + a).astype(np.int32)), pa.array((first + z).astype(np.int32))], names)
 
     rows: list[tuple] = []
     size = 0
     for b in batches:
-        for r in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if r[2] < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([r[3]]), pa.array([r[4]]), pa.array([0], pa.int32()), pa.array([r[5]], pa.int32())], names)
+                continue
             if size > 1 << 20 and r[0] != rows[-1][0]:
                 yield from done(rows)
                 rows, size = [], 0
@@ -369,41 +403,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(rows)
 
 
-def _dealt(windows: DataFrame, split: int) -> DataFrame:
-    """Of the windows of split anchors those whose hash occurs twice, counted with map-side combining.  The windows that
-    over ``split`` rows share, at most one for each ``split`` rows, are looked up without a shuffle."""
-    twice = C.stored(windows.groupBy("context").agg(F.count("*").alias("n")).filter("n > 1"), "windows")
-    hot, windows = F.broadcast(twice.filter(F.col("n") > split).select("context")), windows.filter("not only")
-    cold = windows.join(hot, "context", "left_anti").join(twice.filter(F.col("n") <= split), "context", "left_semi")
-    return windows.join(hot, "context", "left_semi").union(cold).select("doc_id", "own", "first", F.col("first").alias("last"))
+def _dealt(windows: DataFrame) -> DataFrame:
+    """Of the windows of split anchors those whose hash occurs twice, counted with map-side combining.  Windows that very
+    many rows share are a hot key of the look-up alone, which Spark's skew join splits."""
+    twice = C.stored(windows.groupBy("context").agg(F.count("*").alias("n")).filter("n > 1").select("context"), "windows")
+    return windows.join(twice, "context", "left_semi").select("own1", "own2", "first", F.col("first").alias("last"))
 
 
-def _own(text: str = "text"):
-    """Tells rows with equal doc_ids apart; rows that are equal in both have equal spans."""
-    return F.hash(F.coalesce(text, F.lit("")))
+def _own(docs: DataFrame) -> list:
+    """Two hashes of doc_id and text with different seeds: they tell rows with equal or null doc_ids apart."""
+    return [F.xxhash64(F.lit(k), "doc_id", F.coalesce("text", F.lit(""))) for k in (1, 2)]
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, runs): the runs of windows, as (first, last) starts, that begin LENGTH bytes which also start
-    elsewhere in the texts of ``docs`` (doc_id, text), for each row with any; ``own`` is a hash of the text."""
-    spark = docs.sparkSession
-    parts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", _own().alias("own"), "text")
-    blobs = C.map_arrow(rows.filter(F.octet_length("text") >= LENGTH), partial(_anchors, parts=parts), "bucket int, open boolean, blob binary")
-    found = C.stored(C.map_arrow(blobs.repartition(parts, "bucket"), partial(_groups, split=SPLIT), FOUND), "anchors")
-    asked = found.filter("kind > 0").groupBy("doc_id", "own").agg(F.collect_list(F.struct("first", "last", "kind", "anchor")).alias("runs"))
-    at = rows.alias("d").join(asked.alias("a"), F.expr("d.doc_id <=> a.doc_id and d.own = a.own"))
-    # rows that are equal in doc_id and text share their runs, which were counted for each: one sends them
-    contexts = C.map_arrow(at.select("d.doc_id", "d.own", "d.text", "a.runs").dropDuplicates(["doc_id", "own"]), _contexts, CONTEXT)
+    """(own1, own2, runs): the runs of windows, as (first, last) starts, that begin LENGTH bytes which also start
+    elsewhere in the texts of ``docs`` (doc_id, text), for each row with any; the first two are those of ``_own``."""
+    own1, own2 = _own(docs)
+    rows = docs.select(own1.alias("own1"), own2.alias("own2"), "text").filter(F.octet_length("text") >= LENGTH)
+    runs = C.map_arrow(rows, _anchors, RUN).repartition("anchor").sortWithinPartitions("anchor", "place")
+    found = C.stored(C.map_arrow(runs, partial(_groups, split=SPLIT), FOUND), "anchors")
+    # a run that is asked for twice is that of a row that is there twice
+    asked = found.filter("kind > 0").groupBy("own1", "own2").agg(F.collect_set(F.struct("first", "last", "kind", "anchor")).alias("runs"), F.count("*").alias("n"))
+    at = rows.join(asked, ["own1", "own2"]).select("own1", "own2", "text", (F.col("n") > F.size("runs")).alias("twice"), "runs")
+    contexts = C.map_arrow(at, _contexts, CONTEXT)
     dealt = None
-    if not found.filter("kind in (2, 4)").isEmpty():
+    if not found.filter("kind = 2").isEmpty():
         contexts = C.stored(contexts, "contexts")
-        dealt = _dealt(contexts.filter("windows = 0"), SPLIT)
-        contexts = contexts.filter("windows > 0")
-    verified = C.map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), _verify, ROWS)
-    every = found.filter("kind = 0").select("doc_id", "own", "first", "last").union(verified)
+        dealt = _dealt(contexts.filter("windows = 0"))
+        contexts = contexts.filter("windows <> 0")
+    verified = C.map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor"), _verify, SPAN)
+    every = found.filter("kind = 0").select("own1", "own2", "first", "last").union(verified)
     every = every.union(dealt) if dealt else every
-    return C.stored(every.groupBy("doc_id", "own").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "spans")
+    return C.stored(every.groupBy("own1", "own2").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "spans")
 
 
 def _union(runs: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -439,9 +470,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    found = spans(docs)
-    d = docs.withColumn("__own", _own()).alias("d")
-    return d.join(found.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.__own = s.own"), "left")
+    own1, own2 = _own(docs)
+    names = ["_".join([n, *docs.columns]) for n in ("own1", "own2")]  # names that no column has
+    d = docs.withColumn(names[0], own1).withColumn(names[1], own2).alias("d")
+    found = spans(docs).select(F.col("own1").alias(names[0]), F.col("own2").alias(names[1]), "runs").alias("s")
+    return d.join(found, names, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.runs").alias("_".join(["runs", *docs.columns])))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -452,7 +485,7 @@ def removed(docs: DataFrame) -> DataFrame:
     those of LENGTH bytes or more lose all; so does a text that holds one long run of a byte.  A null doc_id is kept.
     """
     rows = _with_spans(C.pick(docs, "doc_id", "text"))
-    return C.map_arrow(rows.select("d.doc_id", "d.text", "s.runs"), _digest, DIGEST)
+    return C.map_arrow(rows, _digest, DIGEST)
 
 
 def cut_text(text: bytes, runs: list[dict]) -> str:
@@ -477,5 +510,4 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns and rows, each text without the strings that ``removed`` finds, kept to whole characters."""
-    rows = _with_spans(docs).select("d.*", F.col("s.runs").alias("__runs")).drop("__own")
-    return C.map_arrow(rows, partial(_cut, at=docs.columns.index("text")), docs.schema)
+    return C.map_arrow(_with_spans(docs), partial(_cut, at=docs.columns.index("text")), docs.schema)

@@ -247,12 +247,14 @@ def test_suffixes_hot_and_split(spark):
     assert key(map(tuple, suffixes.removed(df).collect())) == want
 
 
-def test_suffixes_split_windows_stay_small(spark, monkeypatch):
-    """A window that many contexts of a split anchor share is counted; its rows do not meet in one task."""
+@pytest.mark.parametrize("split,local", [(3, 2), (3, 1000), (1000, 2), (0, 0)])
+def test_suffixes_of_split_anchors(spark, monkeypatch, split, local):
+    """Anchors with many contexts, found over all texts or in one task: no more than ``split`` of one meet in a task."""
     r = random.Random(10)
     core = "".join(r.choice("abcdef ") for _ in range(230))
     noise = lambda n: "".join(r.choice("uvwxyz ") for _ in range(n))
     rows = [(k, noise(r.randint(40, 150)) + core + noise(r.randint(40, 150))) for k in range(60)] + [(5, noise(60) + core), (None, core + noise(60)), (300, noise(400))]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (7, rows[7][1]), (400, rows[8][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     verify = suffixes._verify
 
@@ -260,22 +262,47 @@ def test_suffixes_split_windows_stay_small(spark, monkeypatch):
         met = collections.Counter()
         for b in batches:
             met.update(b.column(0).to_pylist())
-            assert not met or max(met.values()) <= 3
+            assert not met or max(met.values()) <= max(split, 1)
             yield from verify(iter([b]))
 
-    monkeypatch.setattr(suffixes, "SPLIT", 3)
+    monkeypatch.setattr(suffixes, "SPLIT", split)
+    monkeypatch.setattr(suffixes, "LOCAL", local)
     monkeypatch.setattr(suffixes, "_verify", bounded)
+    monkeypatch.setattr(suffixes, "_anchors", lambda batches, f=suffixes._anchors: (setattr(suffixes, "LOCAL", local), (yield from f(batches)))[1])
     want = key((i, *w) for (i, _), w in zip(rows, brute_spans([t for _, t in rows])))
     assert key(map(tuple, suffixes.removed(df).collect())) == want
     assert any(w[2] for w in want)
 
 
+def test_suffixes_compare_bytes_not_hashes(monkeypatch):
+    """With a hash that says all runs are equal nothing is settled that is not."""
+    r = random.Random(11)
+    a, b = ("".join(r.choice("abcd") for _ in range(900)).encode() for _ in range(2))
+    runs = suffixes.anchor_runs
+
+    def blind(texts):
+        row, first, last, at, h, c = runs(texts)
+        return row, first, last, at, np.zeros_like(h), np.zeros_like(c)
+
+    monkeypatch.setattr(suffixes, "anchor_runs", blind)
+    own = np.arange(3)
+    got = suffixes._collapsed([a, b, a], own, own).to_pydict()
+    settled = collections.defaultdict(set)
+    for o, p in zip(got["own1"], got["place"]):
+        if p >= 0 and p & 255 == suffixes.SETTLED:
+            settled[o].update(range(p >> 16, (p >> 16) + (p >> 8 & 255) + 1))
+    assert not settled[1] and settled[0] == settled[2] != set()
+
+
 def test_suffix_sort():
     r = random.Random(4)
     for alphabet in (b"ab", b"abc", b"a", bytes(range(256))):
         for _ in range(100):
             d = bytes(r.choice(alphabet) for _ in range(r.randint(1, 50)))
-            assert suffixes.suffix_array(d, [(0, len(d), len(d))]) == sorted(range(len(d)), key=lambda i: d[i:])
+            order = suffixes.suffix_array(d, [(0, len(d), len(d))])
+            assert order == sorted(range(len(d)), key=lambda i: d[i:])
+            shared = [next((k for k in range(200) if a + k >= len(d) or b + k >= len(d) or d[a + k] != d[b + k]), 200) for a, b in zip(order, order[1:])]
+            assert suffixes.common_prefixes(d, np.array(order)).tolist() == shared
 
 
 def test_long_text_in_pieces(monkeypatch):
