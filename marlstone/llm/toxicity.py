@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Chosen with least, ratio and penalty of ``fit`` by ``cross_validated`` on training rows alone.
 SIZES = (5, 7, 9)
 #: Of odd multipliers for 64-bit n-gram hashes; one table for the bytes.
 _RNG = np.random.default_rng(20240607)
@@ -27,12 +29,12 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum([0] + [len(t) + 1 for t in texts])
 
 
-def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
+def _grams(data: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
     """For each size, the hash of the n-gram at every place; no n-gram spans two texts' worth of meaning, as a line end parts them."""
     b, h = _BYTE[data], None
-    for n in range(1, SIZES[-1] + 1):
+    for n in range(1, max(sizes) + 1):
         h = b.copy() if h is None else h[:-1] * _STEP + b[n - 1 :]
-        if n in SIZES:
+        if n in sizes:
             x = h ^ (h >> np.uint64(29))
             x *= np.uint64(0xBF58476D1CE4E5B9)
             yield x ^ (x >> np.uint64(32))
@@ -45,6 +47,7 @@ class Model:
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    sizes: tuple[int, ...] = SIZES
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The chance of label 1 for each whole text; each n-gram counts once in a text."""
@@ -61,7 +64,7 @@ class Model:
         """Distinct (text, n-gram) pairs."""
         data, first = _joined(texts)
         pairs = []
-        for h in _grams(data):
+        for h in _grams(data, self.sizes):
             at = np.flatnonzero(has[h >> np.uint64(64 - _SLOTS)])
             k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
             ok = self.hashes[k] == h[at]
@@ -71,7 +74,7 @@ class Model:
         return p // len(self.hashes), p % len(self.hashes)
 
 
-def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.5, steps: int = 300, penalty: float = 1e-4) -> Model:
+def fit(texts: list[bytes], labels: list[int], sizes: tuple[int, ...] = SIZES, least: int = 2, ratio: float = 1.5, steps: int = 300, penalty: float = 3e-4) -> Model:
     """Naive Bayes log-count ratios of the n-grams in ``least`` or more texts; those of ``ratio`` or more, scaled by
     their ratio, are the features of a logistic regression with an L2 penalty.  N-grams that lean to label 0 are left
     out: a long text holds hundreds, which would outweigh a toxic passage in it.
@@ -79,20 +82,20 @@ def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.
     Without texts of both labels there are no features and the score is the share of label 1, 0 without any text.
     """
     y = np.array(labels, float)
-    none = Model(np.empty(0, np.uint64), np.empty(0), 0.0)
+    none = Model(np.empty(0, np.uint64), np.empty(0), 0.0, sizes)
     if not len(y) or y.min() == y.max():
         none.bias = 500.0 if len(y) and y[0] else -500.0
         return none
     # counts by slot first; only n-grams of slots that lean to label 1 are held in the second pass
     slots = np.zeros((2, 1 << _SLOTS), np.int32)
     for t, label in zip(texts, labels):
-        slots[int(label)][np.unique(np.concatenate([h >> np.uint64(64 - _SLOTS) for h in _grams(_joined([t])[0])]))] += 1
+        slots[int(label)][np.unique(np.concatenate([h >> np.uint64(64 - _SLOTS) for h in _grams(_joined([t])[0], sizes)]))] += 1
     lean = np.log((slots[1] + 0.5) / (y.sum() + 1)) - np.log((slots[0] + 0.5) / (len(y) - y.sum() + 1))
     ok = (slots.sum(0) >= least) & (lean >= 0.8 * ratio)
     del slots, lean
     kept = []
     for t in texts:
-        kept.append(np.unique(np.concatenate([h[ok[h >> np.uint64(64 - _SLOTS)]] for h in _grams(_joined([t])[0])])))
+        kept.append(np.unique(np.concatenate([h[ok[h >> np.uint64(64 - _SLOTS)]] for h in _grams(_joined([t])[0], sizes)])))
     flat, rows = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(h) for h in kept])
     hashes, at = np.unique(flat, return_inverse=True)
     n1 = np.bincount(at, weights=y[rows], minlength=len(hashes))
@@ -119,23 +122,49 @@ def fit(texts: list[bytes], labels: list[int], least: int = 4, ratio: float = 1.
         c1, c2 = 1 - 0.9**k, 1 - 0.999**k
         w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-9)
         b -= 0.05 * (m0 / c1) / (np.sqrt(v0 / c2) + 1e-9)
-    return Model(hashes[pick], w * r, float(b))
+    return Model(hashes[pick], w * r, float(b), sizes)
+
+
+def cross_validated(texts: list[bytes], labels: list[int], settings: list[dict], folds: int = 3, seed: int = 1) -> list[tuple[float, float, float]]:
+    """For each of ``settings`` of ``fit``: area under the curve, share of label 1 at 0.5 or more, and of label 0, over
+    ``folds`` of the given texts, each scored by a model that has not seen it.  Equal texts are in one fold."""
+    y = np.array(labels)
+    fold = np.array([zlib.crc32(t, seed) % folds for t in texts])
+    out = []
+    for given in settings:
+        s = np.empty(len(y))
+        for k in range(folds):
+            seen, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            s[own] = fit([texts[i] for i in seen], y[seen].tolist(), **given).scores([texts[i] for i in own])
+        rank = np.empty(len(s))
+        v, at, n = np.unique(s, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(n) - (n - 1) / 2)[at]  # ties share their mean rank
+        pos, neg = y.sum(), len(y) - y.sum()
+        auc = (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)
+        out.append((float(auc), float((s[y == 1] >= 0.5).mean()), float((s[y == 0] >= 0.5).mean())))
+    return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_each: int = 2500) -> tuple[list[bytes], list[int]]:
+    """The texts and labels that ``train`` learns from, one row for each doc_id."""
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    spread = F.xxhash64("doc_id")
+    chosen = [known.filter(f"toxic = {v}").orderBy(spread, "doc_id").limit(max_each) for v in (0, 1)]
+    chosen = chosen[0].union(chosen[1])  # of 2 * max_each short rows at most
+    rows = C.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = rows.withColumn("t", F.col("t").cast("binary")).orderBy("doc_id").toPandas()
+    return [bytes(x) for x in rows.t], rows.toxic.tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_each: int = 2500) -> Model:
     """Fits on at most ``max_each`` labelled texts of each label, those of the least xxhash64(doc_id): a documented bound.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.  Labels with nulls are left out; a doc_id
-    labelled both ways counts as toxic; rows with equal ids all count.
+    labelled both ways counts as toxic; of rows with equal ids the least text is learned, and only that one, chosen
+    before anything comes to the driver.
     """
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    spread = F.xxhash64("doc_id")
-    chosen = [known.filter(f"toxic = {v}").orderBy(spread, "doc_id").limit(max_each) for v in (0, 1)]
-    chosen = chosen[0].union(chosen[1])  # of 2 * max_each short rows at most
-    rows = C.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "t"]).drop_duplicates("doc_id") if len(rows) else rows
-    return fit([bytes(x) for x in rows.t], rows.toxic.tolist())
+    return fit(*training_rows(docs, labels, max_each))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, keep: bool) -> Iterator[pa.RecordBatch]:

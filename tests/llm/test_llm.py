@@ -345,6 +345,39 @@ def test_toxicity(spark, docs, none):
     assert {x.score for x in toxicity.score(df, nothing).collect()} == {1 / (1 + np.exp(500.0))}
 
 
+def brute_hash(gram):
+    """An n-gram's hash, one byte at a time in plain integers."""
+    m, h = (1 << 64) - 1, 0
+    for i, x in enumerate(gram):
+        h = ((h * int(toxicity._STEP) if i else 0) + int(toxicity._BYTE[x])) & m
+    h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & m
+    return h ^ h >> 32
+
+
+def test_toxicity_scores_by_brute_force():
+    r = random.Random(7)
+    rows = [(" ".join(r.choice(WORDS) + (r.choice(["", " grobnik", " Vorlash"]) if i % 3 == 0 else "") for _ in range(r.randint(1, 60))).encode(), int(i % 3 == 0)) for i in range(150)]
+    for sizes in ((5, 7, 9), (3, 4)):
+        model = toxicity.fit([t for t, _ in rows], [y for _, y in rows], sizes=sizes)
+        weight = dict(zip(map(int, model.hashes), model.weights))
+        assert weight
+        some = [t for t, _ in rows[:40]] + [b"", b"x", "É grobnik\ngrobnik".encode(), b"grobnik " * 3000]
+        for t, got in zip(some, model.scores(some)):
+            own = b"\n" + t.lower() + b"\n"
+            grams = {brute_hash(own[i : i + n]) for n in sizes for i in range(len(own) - n + 1)}
+            assert got == pytest.approx(1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(g, 0.0) for g in grams), -500, 500))))
+
+
+def test_toxicity_learns_one_row_of_an_id(spark):
+    r = random.Random(8)
+    rows = [(i, f"{'grobnik' if i % 2 else 'alpha'} {r.random()}") for i in range(60)]
+    df = spark.createDataFrame(rows + [(1, "aaa least of its id")] + [(3, "zzz")] * 50, "doc_id long, text string")
+    texts_, y = toxicity.training_rows(df, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    want = sorted((i, t) for i, t in {**dict(rows), 1: "aaa least of its id"}.items() if zlib.crc32(str(i).encode()) % 5)
+    assert texts_ == [t.encode() for _, t in want] and y == [i % 2 for i, _ in want]
+    assert toxicity.cross_validated(texts_ * 3, y * 3, [{}])[0][0] > 0.9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body class="page"><header><a href="/">Site</a></header>
 <nav><ul><li><a href="/a">Menu</a></li><li><a href="/b">More</a></li></ul></nav><div class="cookie-notice">We use cookies, as all do.</div>
 {open}<h1>A  title &amp; more</h1><p>First paragraph, with <b>bold</b> and <a href="/x">a link</a>.<p>Second: caf&eacute;&nbsp;&#233; &lt;b&gt;, longer than the first one is.</p>
