@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)>", re.S)
+_TAG = re.compile(r"[a-zA-Z][^\s/<>]{0,63}")
+_STOP = re.compile(r">|=\s*[\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noframes", "xmp"}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "figcaption", "summary"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _BLOCK = _LEAF | set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figure footer form frameset head header hgroup hr html legend li main menu nav ol optgroup option search section select table tbody td tfoot th thead tr ul video audio canvas object".split())
 #: What an opening tag closes, up to an element that bounds the search.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, {"html"})}
-_OUT = {"nav", "footer", "aside", "form", "button", "select", "datalist", "template", "svg", "math", "dialog", "menu", "head", "object", "canvas", "audio", "video", "search", "fieldset"}
-#: Of those, the ones that may wrap a whole page; like names, they do not take out what holds the article.
+#: Elements whose text a page does not show as text.
+_UNSEEN = {"button", "select", "datalist", "template", "svg", "math", "dialog", "head", "object", "canvas", "audio", "video"}
+_APART = {"nav", "footer", "aside", "menu", "search"}
+#: These may wrap a whole page; like names, they do not count against what holds the article.
 _WRAPS = {"form", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist", "status"}
 _NAMES = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars navbar nav navigation menu menus submenu breadcrumb breadcrumbs topbar toolbar footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification notifications popup popups modal overlay lightbox newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations widget widgets pagination pager copyright disclaimer skip".split())
@@ -30,106 +34,145 @@ _PUNCT = re.compile(r"[.,;:!?…。，、；：！？»”\"']")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+#: Weights of a block's path by what its elements' tags, roles and names say.
+_LOW, _LOWEST, _HIGH = 0.02, 0.01, 3.0
+#: Elements nested deeper are siblings of the deepest, as in browsers, so that no walk up is longer.
+DEPTH = 256
+
+
 class _Element:
-    __slots__ = ("tag", "name", "out", "named", "head", "parent", "main", "link")
-
-    def __init__(self, tag: str, attrs: str, parent: _Element | None):
-        self.tag, self.parent, self.name = tag, parent, tag
-        self.out, self.head = (parent.out, parent.head) if parent else (False, False)
-        self.main = tag in ("article", "main") or bool(parent and parent.main)
-        self.link = tag == "a" or bool(parent and parent.link)
-        self.named = tag in _WRAPS  # out by this element's own name, unless it holds the article
-        if tag in _OUT and not self.named:
-            self.out = True
-        if tag == "header":
-            self.head = True
+    __slots__ = ("tag", "parent", "depth", "id", "path", "block", "shown", "apart", "named", "head", "heading", "main", "link", "list")
+
+    def __init__(self, tag: str, attrs: str, parent: _Element | None, number: int, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent, self.id = tag, parent, number
+        self.depth = parent.depth + 1 if parent else 0
+        p = parent or self
+        root = parent is None
+        self.shown = tag not in _UNSEEN and (root or p.shown)
+        self.apart, self.named = tag in _APART, tag in _WRAPS
+        self.head = tag == "header" or (not root and p.head)
+        self.heading = tag in _HEADING or (not root and p.heading)
+        self.main = tag in ("article", "main") or (not root and p.main)
+        self.link = tag == "a" or (not root and p.link)
+        self.list = number if tag in ("ul", "ol", "dl") else -1 if root else p.list
+        self.block = self if tag in _BLOCK or root else p.block
+        name = tag
         if attrs and not attrs.isspace():
             a = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTR.finditer(attrs)}
-            named = f"{a.get('class', '')} {a.get('id', '')}"
-            if named != " ":
-                self.name = f"{tag}.{named.strip()}"
-            words = {w.lower() for w in _WORDS.findall(named)}
+            own = f"{a.get('class', '')} {a.get('id', '')}"
+            if own != " ":
+                name = f"{tag}.{own.strip()}"
             if tag not in ("html", "body"):
+                words, role = {w.lower() for w in _WORDS.findall(own)}, a.get("role", "").lower()
                 self.named |= bool(words & _NAMES)
-                self.out |= a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None
+                self.apart |= role in _ROLES
                 self.head |= bool(words & _HEAD_NAMES) and tag not in ("article", "main")
-                if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
-                    self.main = True
+                self.main |= role == "main" or a.get("itemprop", "").lower() == "articlebody"
+                if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+                    self.shown = False
+        self.path = 0 if root else p.path
+        if tag in _BLOCK or tag == "a":
+            self.path = paths.setdefault((self.path, tag if tag in _LEAF else name), len(paths) + 1)
 
 
 class _Text:
     __slots__ = ("text", "links", "at", "path")
 
     def __init__(self, text: str, links: int, at: _Element):
-        self.text, self.links, self.at = text, links, at
-        path, e = [], at
-        while e:
-            if e.tag in _BLOCK or e.tag == "a":
-                path.append("¶" if e.tag in _LEAF else e.name)
-            e = e.parent
-        if path and path[0] != "¶":
-            path.insert(0, "¶") if path[0].split(".")[0] in ("div", "section", "article", "main", "body", "td") else None
-        self.path = tuple(path)
+        self.text, self.links, self.at, self.path = text, links, at, at.path
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) of a page's text, opening and closing tags, in time linear in its length."""
+    pos, n, last, plain = 0, len(page), page.rfind(">"), False
+    while pos < n:
+        lt = page.find("<", pos)
+        if lt < 0 or lt > last:
+            yield "text", page[pos:], ""
+            return
+        if lt > pos:
+            yield "text", page[pos:lt], ""
+        c = page[lt + 1 : lt + 2]
+        if c == "!" or c == "?":
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 2)
+                pos = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                yield "raw", page[lt + 9 : end if end >= 0 else n], ""
+                pos = end + 3 if end >= 0 else n
+            else:
+                pos = page.find(">", lt) + 1
+            continue
+        m = _TAG.match(page, lt + 1 + (c == "/"))
+        if c == "/":
+            pos = page.find(">", lt) + 1
+            if m:
+                yield "close", m[0].lower(), ""
+            continue
+        if not m:
+            yield "text", "<", ""
+            pos = lt + 1
+            continue
+        end = at = m.end()
+        while True:
+            stop = None if plain else _STOP.search(page, at)
+            if stop and stop[0] == ">":
+                end = stop.start()
+                break
+            at = page.find(stop[0][-1], stop.end()) + 1 if stop else 0
+            if not at:  # a quote that nothing closes: from here on quotes mean nothing
+                plain, end = True, page.find(">", m.end())
+                break
+        tag, attrs = m[0].lower(), page[m.end() : end]
+        pos = end + 1
+        closed = attrs.endswith("/")
+        if tag in _RAW:
+            if not closed or tag in ("script", "style", "textarea", "title"):
+                shut = _CLOSE[tag].search(page, pos)
+                pos = shut.end() if shut else n
+            continue
+        yield ("empty" if closed else "open"), tag, attrs
 
 
 def blocks(page: str) -> list[_Text]:
-    """The page's blocks of text in order, white space joined, character references decoded."""
-    root = _Element("#", "", None)
-    at, out, buf, links = root, [], [], 0
+    """The page's blocks of text that is shown, in order, white space joined, character references decoded."""
+    paths: dict[tuple[int, str], int] = {}
+    root = at = _Element("#", "", None, 0, paths)
+    out, buf, links, number = [], [], 0, 0
 
     def end_block() -> None:
         nonlocal links
         if buf:
             text = " ".join("".join(buf).split())
-            if text:
+            if text and at.shown:
                 out.append(_Text(text, min(links, len(text)), at))
             buf.clear()
         links = 0
 
-    def add(text: str) -> None:
-        nonlocal links
-        if "&" in text:
-            text = html.unescape(text)
-        buf.append(text)
-        if at.link:
-            links += len(text.strip())
-
-    pos, n = 0, len(page)
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            add(page[pos:])
-            break
-        if m.start() > pos:
-            add(page[pos : m.start()])
-        pos = m.end()
-        if m["cdata"]:
-            buf.append(m["cdata"])
-        tag = m["tag"]
-        if not tag:
+    for kind, value, attrs in _tokens(page):
+        if kind in ("text", "raw"):
+            if at.shown:
+                text = html.unescape(value) if kind == "text" and "&" in value else value
+                buf.append(text)
+                if at.link:
+                    links += len(text.strip())
             continue
-        tag = tag.lower()
-        if m["end"]:
+        tag = value
+        if kind == "close":
             e = at
             while e.parent and e.tag != tag and not (e.tag in ("table", "td", "th", "article", "main") and tag not in _BLOCK):
                 e = e.parent
             if e.parent and e.tag == tag:
-                if tag in _BLOCK or any_block(at, e):
+                if at.block.depth >= e.depth or not (at.shown and e.parent.shown):
                     end_block()
                 at = e.parent
             elif tag in _BLOCK:
                 end_block()
             continue
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
-            if not m["self"] or tag in ("script", "style", "textarea", "title"):
-                pos = close.end() if close else n
-            continue
         if tag in _BLOCK:
             end_block()
-            e = at  # a block inside a paragraph ends it
-            while e.parent and e.tag not in _BLOCK:
-                e = e.parent
+            e = at.block  # a block inside a paragraph ends it
             if e.tag == "p" or (e.tag in _HEADING and tag in _HEADING):
                 at = e.parent
             if tag in _CLOSES:
@@ -143,121 +186,153 @@ def blocks(page: str) -> list[_Text]:
                     at = last.parent
         if tag == "br":
             buf.append(" ")
-        elif tag not in _VOID and not (m["self"] and tag in ("svg", "path", "use")):
-            at = _Element(tag, m["attrs"], at)
-        elif tag == "hr":
-            end_block()
+        elif tag not in _VOID and not (kind == "empty" and tag in ("svg", "path", "use")):
+            number += 1
+            new = _Element(tag, attrs, at.parent if at.depth >= DEPTH else at, number, paths)
+            if new.shown != at.shown:
+                end_block()
+            at = new
     end_block()
     return out
 
 
-def any_block(e: _Element, to: _Element) -> bool:
-    while e is not to:
-        if e.tag in _BLOCK:
-            return True
-        e = e.parent
-    return False
+def _sums(elements: list[_Element], values: dict[int, float]) -> list[float]:
+    """Of each element the sum over its own and all deeper ones' values; an element's number is over its parent's."""
+    out = [0.0] * (elements[-1].id + 1)
+    for k, v in values.items():
+        out[k] = v
+    for e in reversed(elements):
+        if e.parent:
+            out[e.parent.id] += out[e.id]
+    return out
 
 
-def _chain(b: _Text) -> Iterator[_Element]:
-    e = b.at
-    while e:
-        yield e
-        e = e.parent
+def _elements(all_blocks: list[_Text]) -> list[_Element]:
+    """The elements that hold blocks, parents first."""
+    found: dict[int, _Element] = {}
+    for b in all_blocks:
+        e = b.at
+        while e and e.id not in found:
+            found[e.id] = e
+            e = e.parent
+    return [found[k] for k in sorted(found)]
 
 
-def _plain(blocks: list[_Text]) -> int:
+def _plain(b: _Text) -> int:
     """Characters outside of links."""
-    return sum(len(b.text) - b.links for b in blocks)
+    return len(b.text) - b.links
+
+
+def weights(all_blocks: list[_Text], elements: list[_Element]) -> list[float]:
+    """What tags, roles and names say of each element, as a factor: little for menus, adverts and the like, much for
+    articles.  A name, form or fieldset that holds over half of the page's text outside of links counts for nothing,
+    unless the page's titles or articles are all outside of it: it wraps the page."""
+    own: dict[int, float] = {}
+    titles: dict[int, float] = {}
+    for b in all_blocks:
+        own[b.at.id] = own.get(b.at.id, 0) + _plain(b)
+        titles[b.at.id] = titles.get(b.at.id, 0) + (b.at.main or b.at.block.tag == "h1")
+    text, titled = _sums(elements, own), _sums(elements, titles)
+    out = [1.0] * len(text)
+    for e in elements:
+        w = out[e.parent.id] if e.parent else 1.0
+        if e.apart:
+            w *= _LOWEST
+        if e.named and not (2 * text[e.id] > text[0] and (titled[e.id] or not titled[0])):
+            w *= _LOW
+        if e.main and not (e.parent and e.parent.main):
+            w *= _HIGH
+        out[e.id] = w
+    return out
 
 
-def _candidates(all_blocks: list[_Text]) -> list[_Text]:
-    """Blocks that no tag, role or name takes away.
+def path_scores(all_blocks: list[_Text], factor: list[float]) -> list[float]:
+    """For each block the score of its root-to-leaf tag path.
 
-    A name, form or fieldset takes nothing away that holds over half of the page's text outside of links, where it holds
-    the page's first heading or article too, or leaves less than a quarter of that text without any; and nothing at all where little is left.
-    """
-    # the heading of an article stays where its header goes
-    shown = [b for b in all_blocks if not b.at.out and (not b.at.head or (b.at.main and any(e.tag in _HEADING for e in _chain(b))))]
-    under: dict[int, list[_Text]] = {}
-    for b in shown:
-        for e in _chain(b):
-            if e.named:
-                under.setdefault(id(e), []).append(b)
-    if not under:
-        return shown
-    titles = lambda blocks: any(b.at.main or any(e.tag == "h1" for e in _chain(b)) for b in blocks)
-    left = [b for b in shown if not any(e.named for e in _chain(b))]
-    held = lambda blocks: _plain([b for b in blocks if not any(e.tag in _HEADING for e in _chain(b))])
-    rest, total = held(left), _plain(shown)
-    titled = rest > 0 and titles(left)
-    wraps = {k for k, v in under.items() if 2 * _plain(v) > total and not titled and (titles(v) or 4 * rest < _plain(v))}
-    if wraps:
-        left = [b for b in shown if not any(e.named and id(e) not in wraps for e in _chain(b))]
-        rest, titled = held(left), titles(left)
-    return shown if not rest or (10 * rest < total and not titled) else left
+    A path's ratios are its mean text outside of links and mean punctuation over its nodes.  Laid out in page order they
+    are smoothed over neighbours, fused by product, and a path has the greatest of its nodes' values, less where it has
+    little text in all, times ``factor`` of the element."""
+    sums: dict[int, list[int]] = {}
+    for b in all_blocks:
+        s = sums.setdefault(b.path, [0, 0, 0])
+        s[0] += _plain(b)
+        s[1] += len(_PUNCT.findall(b.text)) if b.links < len(b.text) else 0
+        s[2] += 1
+    ratio = [(s[0] / s[2], s[1] / s[2]) for s in (sums[b.path] for b in all_blocks)]
+    pad = [ratio[0], *ratio, ratio[-1]]
+    fused: dict[int, float] = {}
+    for i, b in enumerate(all_blocks):
+        t, p = ((pad[i][k] + 2 * pad[i + 1][k] + pad[i + 2][k]) / 4 for k in (0, 1))
+        fused[b.path] = max(fused.get(b.path, 0.0), t * (1 + p) * sums[b.path][0] / (sums[b.path][0] + 40))
+    return [fused[b.path] * factor[b.at.id] * (_LOW if b.at.head and not b.at.heading else 1) for b in all_blocks]
 
 
 def content(all_blocks: list[_Text], share: float = 0.25, hold: float = 0.7) -> list[_Text]:
     """The content blocks.
 
-    Menus, adverts and the like that their tags, roles or names give away go first, but no element that holds the article.
-    Articles and mains go before other blocks where they hold half of the text outside of links.  For each tag path the others
-    give the mean text and the mean punctuation of its nodes; the values, laid out in page order, are smoothed, fused
-    by product, and the paths of at least ``share`` of the greatest are content.  The deepest element with ``hold`` of
-    the content's text holds the article: its other blocks belong to it, but for lists of links.
+    Blocks of paths with ``share`` of the greatest score are content; 0 switches the ratios off.  The deepest element
+    with ``hold`` of the content's text holds the article, up to the outermost article or main around it: its other
+    blocks belong to it, but for what tags, roles or names inside of it set apart, and for lists of links.  A title just
+    before it, in an element that adds little else, belongs to it too.
     """
-    left = _candidates(all_blocks)
-    if not left:
+    if not all_blocks:
         return []
-    mains = [b for b in left if b.at.main]
-    if 2 * _plain(mains) < _plain(left):
-        mains = []  # cards beside a story that is in no article
-    if mains:
-        left = mains
-    sums: dict[tuple, list[int]] = {}
-    for b in left:
-        s = sums.setdefault(b.path, [0, 0, 0])
-        s[0] += len(b.text) - b.links
-        s[1] += len(_PUNCT.findall(b.text)) if b.links < len(b.text) else 0
-        s[2] += 1
-    ratio = [(s[0] / s[2], s[1] / s[2]) for s in (sums[b.path] for b in left)]
-    pad = [ratio[0], *ratio, ratio[-1]]
-    smooth = [tuple((pad[i][k] + 2 * pad[i + 1][k] + pad[i + 2][k]) / 4 for k in (0, 1)) for i in range(len(ratio))]
-    fused: dict[tuple, float] = {}
-    for b, (t, p) in zip(left, smooth):
-        fused[b.path] = max(fused.get(b.path, 0.0), t * (1 + p) * min(1.0, sums[b.path][0] / (sums[b.path][0] + 40)))
-    top = max(fused.values())
-    chosen = [b for b in left if fused[b.path] >= share * top]
-    total = sum(len(b.text) for b in chosen)
-    inside: dict[int, int] = {}
-    for b in chosen:
-        for e in _chain(b):
-            inside[id(e)] = inside.get(id(e), 0) + len(b.text)
-    holder = None
-    for b in chosen:
-        e = b.at
-        while e.parent and (inside[id(e)] < hold * total or e.tag in _LEAF or e.tag not in _BLOCK):
-            e = e.parent
-        if holder is None or inside[id(e)] < inside[id(holder)]:
+    elements = _elements(all_blocks)
+    factor = weights(all_blocks, elements)
+    scores = path_scores(all_blocks, factor)
+    top = max(scores)
+    if not top:
+        return []
+    held: dict[int, float] = {}
+    plain: dict[int, float] = {}
+    heads: dict[int, float] = {}
+    for b, s in zip(all_blocks, scores):
+        k = b.at.id
+        plain[k] = plain.get(k, 0) + _plain(b)
+        heads[k] = heads.get(k, 0) + (b.at.block.tag == "h1")
+        if s >= share * top:
+            held[k] = held.get(k, 0) + len(b.text)
+    held, plain, heads = (_sums(elements, x) for x in (held, plain, heads))
+    holder = elements[0]
+    for e in elements:
+        if e.tag in _BLOCK and e.tag not in _LEAF and held[e.id] >= hold * held[0] and e.depth > holder.depth:
             holder = e
-    while holder.tag in ("li", "ul", "ol", "blockquote", "td", "th", "tr", "tbody", "table", "dd", "dl", "figure", "header") and holder.parent and holder.parent.tag not in ("body", "html", "#"):
+    while holder.tag in ("li", "ul", "ol", "blockquote", "td", "th", "tr", "tbody", "table", "dd", "dl", "figure", "header") and holder.parent.parent and holder.parent.tag not in ("body", "html"):
         holder = holder.parent
-    if mains:
-        # one article holds it all, headings and short paragraphs before its first long one too
-        while holder.parent and holder.parent.main:
-            holder = holder.parent
+    while holder.parent and holder.parent.main:
+        holder = holder.parent
+    title = None
+    if not heads[holder.id] and heads[0]:
+        e = holder.parent
+        while e and not heads[e.id]:
+            e = e.parent
+        if e.tag not in ("body", "html", "#") and plain[e.id] <= 1.3 * plain[holder.id]:
+            holder = e
+        else:
+            title = e
+    last = dict(zip((e.id for e in elements), (e.id for e in elements)))
+    for e in reversed(elements):
+        if e.parent:
+            last[e.parent.id] = max(last[e.parent.id], last[e.id])
     lists: dict[int, list[int]] = {}
-    own = [b for b in left if any(e is holder for e in _chain(b))]
-    for b in own:
-        e = next((e for e in _chain(b) if e.tag in ("ul", "ol", "dl")), None)
-        if e:
-            s = lists.setdefault(id(e), [0, 0, 0])
+    own, before = [], None
+    # where names set all of the content apart, they set none of it apart
+    least = min(factor[holder.id], max(factor[b.at.id] for b, s in zip(all_blocks, scores) if s >= share * top)) / 2
+    for b in all_blocks:
+        if not holder.id <= b.at.id <= last[holder.id]:
+            if title and b.at.id < holder.id and b.at.tag == "h1" and b.at.parent is title and factor[b.at.id] >= factor[title.id]:
+                before = b
+            continue
+        if factor[b.at.id] < least or (b.at.head and not holder.head and not b.at.heading):
+            continue
+        own.append(b)
+        if b.at.list >= holder.id:
+            s = lists.setdefault(b.at.list, [0, 0, 0])
             s[0] += len(b.text)
             s[1] += b.links
             s[2] += 1
     menus = {k for k, (t, links, n) in lists.items() if n > 1 and links >= 0.8 * t}
-    return [b for b in own if not any(id(e) in menus for e in _chain(b))]
+    return [before] * (before is not None) + [b for b in own if b.at.list not in menus]
 
 
 def main_text(page: str | None) -> str:

@@ -407,6 +407,92 @@ def test_html_story_beside_cards():
     assert html_text.main_text(f'<body><div><h1>T</h1><p>Short article, of one line.</p></div><div id="comments">{comments}</div></body>') == "T\nShort article, of one line."
 
 
+def plain_pages(seed):
+    """Generated pages without article or main, names or roles: only text and punctuation tell the story apart."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 8)))
+    say = lambda n: " ".join(word() + r.choice([",", ".", "", "", ""]) for _ in range(n))
+    menu = lambda n: "<div>" + "".join(f"<div><a href='/{word()}'>{word()}</a> {word()}</div>" for _ in range(n)) + "</div>"
+    story = [say(r.randint(20, 60)) for _ in range(r.randint(3, 9))]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    return f"<html><body>{menu(r.randint(60, 99))}<div><div>{body}</div></div>{menu(r.randint(60, 99))}<table><tr><td>{word()}</td></tr></table></body></html>", "\n".join(" ".join(p.split()) for p in story)
+
+
+def brute_scores(page):
+    """Path scores with the library's parser: whole paths, a loop for each ratio."""
+    from html.parser import HTMLParser
+
+    nodes, stack = [], []
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            self.flush()
+            stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag != "a":
+                self.flush()
+            stack.pop()
+
+        def handle_data(self, data):
+            self.held = getattr(self, "held", "") + data
+            self.linked = getattr(self, "linked", 0) + (len(data.strip()) if "a" in stack else 0)
+
+        def flush(self):
+            text = " ".join(getattr(self, "held", "").split())
+            if text and stack[-1] != "a":
+                nodes.append((tuple(stack), len(text) - self.linked, len(re.findall(r"[.,]", text))))
+            if stack and stack[-1] != "a":
+                self.held, self.linked = "", 0
+
+    Parser().feed(page)
+    out = []
+    for i, (path, _, _) in enumerate(nodes):
+        best = 0.0
+        for j, (other, _, _) in enumerate(nodes):
+            if other == path:
+                fused = []
+                for f in (1, 2):
+                    mean = []
+                    for k in (max(j - 1, 0), j, j, min(j + 1, len(nodes) - 1)):
+                        same = [x[f] for x in nodes if x[0] == nodes[k][0]]
+                        mean.append(sum(same) / len(same))
+                    fused.append(sum(mean) / 4)
+                best = max(best, fused[0] * (1 + fused[1]))
+        total = sum(x[1] for x in nodes if x[0] == path)
+        out.append(best * total / (total + 40))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_html_paths_choose(seed):
+    page, story = plain_pages(seed)
+    found = html_text.blocks(page)
+    elements = html_text._elements(found)
+    plain = html_text.path_scores(found, [1.0] * (elements[-1].id + 1))
+    assert plain == pytest.approx(brute_scores(page))
+    assert html_text.main_text(page) == story
+    # without the ratios the menus stay
+    assert "\n".join(b.text for b in html_text.content(found, share=0.0)) != story
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<a ", "<a b='", "<p><b>x", "<div></p>", "<td>x</td>", "</div>", "<!-", "<script", "<svg>", "<x/", "<li>y<ul>", "&amp", "<a =\"'>", "<h1>a<table>", "<textarea/>", "<iframe/>"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_html_title_beside_the_story():
+    story = "".join(f"<p>Paragraph {i} of the story, which goes on, and on, for a while.</p>" for i in range(8))
+    want = "Title\n" + "\n".join(f"Paragraph {i} of the story, which goes on, and on, for a while." for i in range(8))
+    assert html_text.main_text(f"<body><div><div><h1>Title</h1></div><div>{story}</div></div><div>Imprint</div></body>") == want
+    assert html_text.main_text(f"<body><div><a>x</a></div><h1>Title</h1><div>{story}</div><div>Imprint</div></body>") == want
+    assert html_text.main_text(f"<article><header><h1>Title</h1><p>By someone</p></header><div>{story}</div><p hidden>Not shown.</p></article>") == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE.format(open="<article>", close="</article>")), (2, None, None), (3, "v", ""), (None, "w", "plain text only."), (4, "x", "<p>unclosed <b>bold<p>and more, of it."), (1, "u", "<nav><a>menu</a></nav>"), (5, "y", "<script>" * 3), (6, "z", "<article>" + "<p>long text, here.</p>" * 5000 + "</article>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -570,16 +656,24 @@ def test_pipeline(spark, tmp_path):
     rows += [(300 + i, say(60) + " " + passage + " " + say(60), "fr", None, 1) for i in range(4)]
     rows += [(400, say(50) + " " + item, "en", "s", 1), (401, None, None, None, None), (402, "", "en", "s", 0)]
     rows += [(500 + i, say(60) + " vorlash grobnik " + say(20), "en", "s", 1) for i in range(80)]
+    odd = [(None, say(90), "en", "s", 1), (None, say(90), "en", "s", 1), (3, say(90), "en", "s", 1), (None, say(40) + " " + " ".join(item.split()[:14]), "en", "s", 1), (3, say(40) + " " + passage, None, "s", 1)]
+    rows += odd
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i >= 500)) for i, *_ in rows if i < 120 or i >= 500], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 500)) for i, *_ in rows if i is not None and (i < 120 or i >= 500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     seen, docs = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, str(tmp_path)), name)
         seen[name] = docs
-    ids = {n: {x.doc_id for x in d.collect()} for n, d in seen.items()}
-    assert ids["toxicity"] == {i for i, *_ in rows if i < 500}
+    own = {n: collections.Counter((x.doc_id, x.text) for x in d.collect() if x.doc_id in (None, 3)) for n, d in seen.items() if n != "packing"}
+    whole = collections.Counter((i, t) for i, t, *_ in rows if i in (None, 3))
+    assert own["toxicity"] == own["simhash"] == whole
+    # of the repeated and null ids one text loses the passage, another goes with its benchmark window
+    assert sum((own["suffixes"] & whole).values()) == sum(whole.values()) - 1 == sum(own["decontamination"].values())
+    assert (None, odd[3][1]) not in own["decontamination"] and sum(x.doc_id is None for x in docs.collect()) == 2
+    ids = {n: {x.doc_id for x in d.collect()} - {None} for n, d in seen.items()}
+    assert ids["toxicity"] == {i for i, *_ in rows if i is not None and i < 500}
     assert ids["simhash"] == ids["toxicity"] - set(range(200, 205)) - {402}
     assert ids["suffixes"] == ids["simhash"] and ids["decontamination"] == ids["suffixes"] - {400}
     cut = {x.doc_id: x.text for x in seen["suffixes"].collect()}
