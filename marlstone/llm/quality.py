@@ -18,11 +18,14 @@ RULES: dict[str, list[float]] = {
 #: At most this share of a stratum's good documents may be rejected, all rules together, with this chance of error.
 RISK, ERROR = 0.05, 0.05
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Strata up to which their cutoffs go to every task; rows are shuffled by stratum only beyond.
+BROADCAST_STRATA = 10_000
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
-    """The base measures of every whole text of ``docs``, and n_lines, beside the columns ``keep``."""
+    """The base measures of every whole text of ``docs``, and n_lines, beside the columns ``keep``.  Windows of one text
+    are equal where their 64-bit hashes are."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, text.alias("t"))
     rows = rows.select(
@@ -106,7 +109,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     bad; repeated rows stay, each judged alone; without labels only the base rules count.
     """
     rows = C.stored(measures(docs, "doc_id", stratum).withColumn("base_failed", base_failed()), "measures")
-    limits = cutoffs(rows, labels, stratum)
+    limits = C.stored(cutoffs(rows, labels, stratum), "cutoffs")
+    if limits.count() <= BROADCAST_STRATA:
+        limits = F.broadcast(limits)
     joined = rows.alias("r").join(limits.alias("l"), F.expr(f"r.{stratum} <=> l.stratum"), "left").select("r.*", "l.limits")
     over = F.lit(False)
     for r, c in _signals().items():
