@@ -352,20 +352,29 @@ def common_prefixes(data: bytes, order: np.ndarray, depth: int = LENGTH) -> np.n
 
 
 def repeated_starts(contexts: list[bytes], windows: list[int]) -> list[np.ndarray]:
-    """For each context, which of its first ``windows`` places start LENGTH bytes that start at such a place elsewhere."""
-    data = b"\0".join(contexts)
-    size = np.array([len(c) + 1 for c in contexts])
+    """For each context, which of its first ``windows`` places start LENGTH bytes that start at such a place elsewhere.
+    Contexts that are equal byte for byte are sorted once, and all of their windows are repeated."""
+    which: dict[bytes, int] = {}
+    at = np.array([which.setdefault(c, len(which)) for c in contexts])
+    many = np.bincount(at) > 1
+    n = np.zeros(len(which), np.int64)
+    np.maximum.at(n, at, windows)  # one for each length, as all have LENGTH - 1 bytes more than windows
+    data = b"\0".join(which)
+    size = np.array([len(c) + 1 for c in which])
     begin = np.cumsum(size) - size
-    stop = begin + np.array(windows)
-    owner = np.zeros(len(data) + 1, bool)
-    for a, z in zip(begin.tolist(), stop.tolist()):
-        owner[a:z] = True
-    order = np.array(suffix_array(data, list(zip(begin.tolist(), stop.tolist(), (begin + size - 1).tolist()))), np.int64)
-    order = order[owner[order]] if len(order) else order
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin], edge[begin + n] = 1, -1
+    owner = np.cumsum(edge).astype(bool)
+    order = np.array(suffix_array(data, list(zip(begin.tolist(), (begin + n).tolist(), (begin + size - 1).tolist()))), np.int64)
+    order = order[owner[order]]
     same = np.flatnonzero(common_prefixes(data, order) >= LENGTH)
-    marked = np.unique(order[np.concatenate([same, same + 1])])
-    cut = np.searchsorted(marked, begin[1:])
-    return [m - b for m, b in zip(np.split(marked, cut), begin.tolist())]
+    marked = np.zeros(len(data) + 1, bool)
+    marked[order[same]] = marked[order[same + 1]] = True
+    for k in np.flatnonzero(many).tolist():
+        marked[begin[k] : begin[k] + n[k]] = True
+    marked = np.flatnonzero(marked)
+    found = [m - b for m, b in zip(np.split(marked, np.searchsorted(marked, begin[1:])), begin.tolist())]
+    return [found[k] for k in at]
 
 
 SPAN = "own1 long, own2 long, first int, last int"
