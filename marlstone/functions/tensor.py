@@ -234,6 +234,19 @@ def mean_rows(x: Column) -> Column:
     return F.transform(transpose(x), lambda c: mean(c))
 
 
+def maxsim_pooled(doc: Column, query: Column) -> Column:
+    """The cosine of the two matrices' mean rows: a cheap stand-in for MAXSIM."""
+    return cosine(mean_rows(doc), mean_rows(query))
+
+
+def maxsim_bits(doc: Column, query: Column) -> Column:
+    """MAXSIM over signs: over the query's rows, the sum of the greatest share of agreeing less differing signs."""
+    signs = lambda m: F.transform(m, lambda r: F.transform(r, lambda v: v > 0))
+    d = signs(doc)
+    agree = lambda r, q: F.aggregate(F.zip_with(r, q, lambda a, b: F.when(a == b, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, v: s + v) / F.size(q)
+    return total(F.transform(signs(query), lambda q: F.array_max(F.transform(d, lambda r: agree(r, q)))))
+
+
 def sign_bits(x: Column, size: int) -> Column:
     """The signs of a vector as 64-bit words."""
     words = []

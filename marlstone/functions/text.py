@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
+BATCH_TERMS = 256
 _CUT = r"[^\p{L}\p{N}-]+"
 
 
@@ -26,8 +27,9 @@ def contains(c: Column, word: Column | str) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words: runs of letters, digits and hyphens."""
-    return F.array_remove(F.split(F.lower(c), _CUT), "")
+    """Lower-case words: runs of letters, digits and hyphens.  Texts of ASCII signs take a cheaper pattern."""
+    low = F.lower(c)
+    return F.array_remove(F.when(F.octet_length(low) == F.length(low), F.split(low, "[^a-z0-9-]+")).otherwise(F.split(low, _CUT)), "")
 
 
 def query_terms(q: str) -> list[str]:
@@ -36,35 +38,56 @@ def query_terms(q: str) -> list[str]:
     return [t for t in regex.split(r"[^\p{L}\p{N}-]+", q.lower()) if t]
 
 
-def _tf(term: str) -> Column:
-    return F.size("w") - F.size(F.array_remove("w", term))
+def _tf(w: Column, term: str) -> Column:
+    return F.size(w) - F.size(F.array_remove(w, term))
 
 
-def bm25(docs: DataFrame, text: str, key: str, query: str, score: str = "score") -> DataFrame:
-    """(key, score) of the documents that hold a term of ``query``: BM25 with k1 1.5, b 0.75 and the Robertson weight
-    ln((N - df + 0.5) / (df + 0.5)).
+def _may_hold(c: Column, terms: list[str]) -> Column:
+    """Whether a text has any of the terms as a part: no other needs its words."""
+    low, out = F.lower(c), F.lit(False)
+    for t in terms:
+        out = out | F.contains(low, F.lit(t))
+    return out
+
 
-    The corpus is scanned once for the terms' counts; a document's length and the counts of the few query terms travel,
-    never its words.  The sums over the corpus are one row.
+def with_bm25(docs: DataFrame, corpus: DataFrame, text: Column, query: str, score: str, matching: bool = False) -> DataFrame:
+    """``docs`` with a column of BM25: k1 1.5, b 0.75 and the Robertson weight ln((N - df + 0.5) / (df + 0.5)), null where
+    no term of ``query`` is; only the others with ``matching``.
+
+    The statistics are those of ``corpus``, one row.  Scores are made where the rows are, without a join on a key, and
+    only texts that hold a term as a part are split into words.
     """
     terms = sorted(set(query_terms(query)))
     weight = {t: query_terms(query).count(t) for t in terms}
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
-    counts = words.select(key, F.size("w").alias("dl"), *(_tf(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     if not terms:
-        return docs.select(key, F.lit(0.0).alias(score)).limit(0)
-    rows = counts.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
-    parts = []
+        rows = docs.withColumn(score, F.lit(None).cast("double"))
+        return rows.limit(0) if matching else rows
+    w = tokens(text)
+    stats = corpus.select(w.alias("w")).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"), *(F.sum(F.array_contains("w", t).cast("int")).alias(f"df{i}") for i, t in enumerate(terms)))
+    s = "_".join(["bm25", *docs.columns])[:500]  # a name that no column has
+    rows = docs.filter(_may_hold(text, terms)) if matching else docs
+    rows = rows.join(F.broadcast(stats.select(F.struct("*").alias(s))))  # one row
+    found = F.when(_may_hold(text, terms), F.struct(F.size(w).alias("dl"), *(_tf(w, t).alias(f"tf{i}") for i, t in enumerate(terms))))
+    rows = rows.withColumn(s, F.when(found.isNotNull(), F.struct(found.alias("own"), F.col(s).alias("all"))))
+    parts, some = [], F.lit(False)
     for i, t in enumerate(terms):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        parts.append(F.when(tf > 0, weight[t] * idf * (K1 + 1) * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0))
-    return rows.select(key, sum(parts[1:], parts[0]).alias(score))
+        tf, df = F.col(f"{s}.own.tf{i}"), F.col(f"{s}.all.df{i}")
+        idf = F.log((F.col(f"{s}.all.n") - df + 0.5) / (df + 0.5))
+        parts.append(F.when(tf > 0, weight[t] * idf * (K1 + 1) * tf / (tf + K1 * (1 - B + B * F.col(f"{s}.own.dl") / F.col(f"{s}.all.avgdl")))).otherwise(0.0))
+        some = some | (tf > 0)
+    rows = rows.withColumn(score, F.when(some, sum(parts[1:], parts[0]))).drop(s)
+    return rows.filter(F.col(score).isNotNull()) if matching else rows
+
+
+def bm25(docs: DataFrame, text: str, key: str, query: str, score: str = "score") -> DataFrame:
+    """(key, score) of the documents that hold a term of ``query``."""
+    narrow = docs.select(key, F.col(text).alias("__t"))
+    return with_bm25(narrow, narrow, F.col("__t"), query, score, matching=True).select(key, score)
 
 
 def bm25_batch(docs: DataFrame, text: str, key: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    """(query_key, key, score) for a table of queries: postings of the queries' terms only, joined on the term.
+    """(query_key, key, score) for a table of queries: postings of the queries' terms only, joined on the term.  With up
+    to BATCH_TERMS different terms only the words that are among them leave their text.
 
     A hot term's postings are spread by Spark's skew join; a document's weights are summed with map-side combining.
     """
@@ -72,7 +95,13 @@ def bm25_batch(docs: DataFrame, text: str, key: str, queries: DataFrame, query_k
     words = docs.select(key, tokens(F.col(text)).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     vocabulary = asked.select("term").distinct()
-    post = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    held = F.col("w")
+    terms = vocabulary.limit(BATCH_TERMS + 1).collect()
+    if len(terms) <= BATCH_TERMS:
+        own = F.array(*(F.lit(r.term) for r in terms)) if terms else F.array().cast("array<string>")
+        words = words.filter(F.arrays_overlap("w", own))
+        held = F.filter("w", lambda x: F.array_contains(own, x))
+    post = words.select(key, F.size("w").alias("dl"), F.explode(held).alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("qtf") * F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

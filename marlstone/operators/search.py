@@ -65,10 +65,11 @@ def softmax(scored: DataFrame, weight: float, name: str) -> DataFrame:
     return scored.join(F.broadcast(total)).select(scored.columns[0], (weight * e / F.col("__t")).alias(name))  # one row
 
 
-def hybrid(vectors: DataFrame, texts: DataFrame, k: int, key: str, w_vector: float = 0.5, w_text: float = 0.5) -> DataFrame:
+def hybrid(vectors: DataFrame, texts: DataFrame, k: int | None, key: str, w_vector: float = 0.5, w_text: float = 0.5) -> DataFrame:
     """Merges two top-k tables (key, score): each side's softmax over its own rows, weighted and added."""
     both = softmax(vectors, w_vector, "__v").join(softmax(texts, w_text, "__x"), key, "full")
-    return both.select(key, (F.coalesce("__v", F.lit(0.0)) + F.coalesce("__x", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    both = both.select(key, (F.coalesce("__v", F.lit(0.0)) + F.coalesce("__x", F.lit(0.0))).alias("score"))
+    return both if k is None else both.orderBy(F.desc("score"), key).limit(k)
 
 
 def hybrid_search(df: DataFrame, vector: str, text: str, key: str, q_vector: Sequence, q_text: str, k: int, w_vector: float = 0.5, w_text: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ..functions import jsonfn, registry
 from ..functions import tensor as T
 from ..functions import text as X
 from ..operators import rows as R
+from ..operators import search
 from ..operators import sequences as S
 from .parser import Node, Select, SetOp
 
@@ -159,6 +160,9 @@ class Lowering:
         else:
             hidden = False
         scope = Scope(self, df, order)
+        if any(names_in(e, "similar") for e in exprs):
+            q = scope.similarities(q)
+            calls = [c for e in [e for e, _ in q.items] + [q.where, q.having, *(e for e, _ in q.order), *q.group] for c in names_in(e, "call")]
         for c in calls:
             if c.value == "bm25_similarity":
                 scope.bm25(c, alone=repr(c) in {repr(e) for e, _ in [*q.order, *q.items]})
@@ -167,13 +171,16 @@ class Lowering:
                 scope.data(c)
         if q.where is not None:
             scope.df = scope.df.filter(scope.predicate(q.where))
+        for c in calls:
+            if c.value == "hybrid_similarity":
+                scope.hybrid(c, None if q.limit is None else self.number(q.limit) + (0 if q.offset is None else self.number(q.offset)))
         if q.expand:
             scope.df = self.expanded(scope, q.expand, order)
         aggregate = bool(q.group) and not ctx.allow_group
         if aggregate:
             raise E.QueryError("grouping is off")
         is_agg = [c for e in [x for x, _ in q.items] + [q.having, *(x for x, _ in q.order)] for c in names_in(e, "call") if scope.across_rows(c, bool(q.group))]
-        items = self.items(q, scope, hidden)
+        items = self.items(q, scope, hidden or scope.numbered)
         if q.group and not is_agg:
             df = self.folded(q, scope, items)
         elif q.group or is_agg:
@@ -310,7 +317,7 @@ class Scope:
     """Expressions over one DataFrame."""
 
     def __init__(self, lowering: Lowering, df: DataFrame, order: list[str]):
-        self.low, self.df, self.order, self.scores = lowering, df, order, {}
+        self.low, self.df, self.order, self.scores, self.numbered = lowering, df, order, {}, False
         self.corpus = df
 
     def kind(self, c: Column) -> DataType:
@@ -374,12 +381,56 @@ class Scope:
         """Joins the scores, once for each different call; a ranking by BM25 alone keeps the documents that match."""
         if repr(c) in self.scores:
             return
-        text = c.args[0].value.split(".")[-1]
-        key = self.low._order(self.df, self.order)[0]
         name = f"__bm{len(self.scores)}"
-        scored = X.bm25(self.corpus, text, key, str(self.value(c.args[1])), name)
+        self.df = X.with_bm25(self.df, self.corpus, self.col(c.args[0]), str(self.value(c.args[1])), name, matching=alone)
         self.scores[repr(c)] = F.col(name) if alone else F.coalesce(F.col(name), F.lit(0.0))
-        self.df = self.df.join(scored, key, "inner" if alone else "left")
+
+    def similarities(self, q):
+        """``q`` with calls in place of ``a <#> b``: cosine for vectors, MAXSIM for matrices, BM25 for texts, both for a
+        record of a vector and a text.  A sort by one without ASC or DESC is from the best on."""
+
+        def call(e):
+            if isinstance(e, Node):
+                n = Node(e.kind, e.value, [call(a) for a in e.args])
+                n.__dict__.update({k: v for k, v in e.__dict__.items() if k not in ("kind", "value", "args")})
+                return self.similarity(*n.args) if n.kind == "similar" else n
+            return type(e)(call(a) for a in e) if isinstance(e, (list, tuple)) else e
+
+        names = {alias: e for e, alias in q.items}
+        order = []
+        for e, asc in q.order:
+            of = names.get(e.value, e) if e.kind == "col" else e
+            order.append((call(e), asc and not (of.kind == "similar" and getattr(e, "implied", False))))
+        return replace(q, items=[(call(e), n) for e, n in q.items], where=call(q.where), having=call(q.having), group=[call(e) for e in q.group], order=order)
+
+    def similarity(self, a: Node, b: Node) -> Node:
+        if a.kind == "tuple":
+            weights = [Node("lit", 0.5), Node("lit", 0.5)]
+            while b.kind == "cast":
+                # a record that is cast without weights has those of 1
+                weights, b = [Node("lit", 1.0), Node("lit", 1.0)], b.args[0]
+            if b.kind not in ("tuple", "call") or (b.kind == "call" and not b.value.endswith("hybrid_record")) or len(b.args) not in (2, 4) or len(a.args) != 2:
+                raise E.TypeMismatch("a record of a vector and a text is compared with a hybrid record")
+            return Node("call", "hybrid_similarity", [*a.args, *b.args[:2], *(b.args[2:] or weights)])
+        if isinstance(self.kind(self.col(a)), StringType):
+            return Node("call", "bm25_similarity", [a, b])
+        return Node("call", "maxsim" if self.rank(self.col(a)) == 2 else "cosine_similarity", [a, b])
+
+    def hybrid(self, c: Node, k: int | None) -> None:
+        """Keeps the rows that vector or text ranks among its best ``k``, with the weighted sum of each side's softmax."""
+        if repr(c) in self.scores:
+            return
+        vector, text, q_vector, q_text, w_vector, w_text = c.args
+        if R.ROW_ID not in self.df.columns and not self.order:
+            self.df, self.numbered = R.with_row_id(self.df, self.low._order(self.df, self.order)), True
+        key, name = self.low._order(self.df, self.order)[0], f"__bm{len(self.scores)}"
+        find = "maxsim" if self.rank(self.col(vector)) == 2 else "cosine_similarity"
+        best = lambda df: df if k is None else df.orderBy(F.desc("score"), key).limit(k)
+        near = best(self.df.select(key, self.col(Node("call", find, [vector, q_vector])).alias("score")).filter("score is not null"))
+        said = X.with_bm25(self.df, self.corpus, self.col(text), str(self.value(q_text)), "score", matching=True)
+        both = search.hybrid(near, best(said.select(key, "score")), k, key, float(self.value(w_vector)), float(self.value(w_text)))
+        self.df = self.df.join(both.withColumnRenamed("score", name), key)
+        self.scores[repr(c)] = F.col(name)
 
     def data(self, c: Node) -> None:
         """A cell as a constant: one row, joined to all."""
@@ -605,6 +656,8 @@ class Scope:
             return jsonfn.keys(cols[0]) if isinstance(self.kind(cols[0]), StringType) else F.map_keys(cols[0])
         if name == "unnest":
             return F.explode(cols[0])
+        if name in ("maxsim_pooled", "maxsim_bq"):
+            return (T.maxsim_pooled if name == "maxsim_pooled" else T.maxsim_bits)(*cols)
         simple = {"l1_norm": T.l1_norm, "l2_norm": T.l2_norm, "linf_norm": T.linf_norm, "nonzero": T.nonzero, "transpose": T.transpose, "mean_pool_rows": T.mean_rows}
         if name in simple:
             return simple[name](cols[0])

@@ -32,7 +32,13 @@ def _contained(m: re.Match) -> str:
             return [f"coalesce({at} = '{quoted}', false)"]
         return [f"coalesce(try_cast({at} as double) = {float(v)}, false)"] if not isinstance(v, bool) and v is not None else [f"coalesce({at} = '{json.dumps(v)}', false)"]
 
-    return f"({' and '.join(parts(json.loads(m[2].replace(chr(39) * 2, chr(39))), '$')) or 'true'})"
+    try:
+        want = json.loads(m[2].replace("''", "'"))
+    except ValueError:
+        want = None
+    if not isinstance(want, (dict, list)):  # of a text: its part
+        return f"contains({m[1]}, '{m[2]}')"
+    return f"({' and '.join(parts(want, '$')) or 'true'})"
 
 
 def _trunc(m: re.Match) -> str:
@@ -103,5 +109,14 @@ def _operand(sql: str, end: int, quoted: set[int]) -> int:
     return i
 
 
+def _glob(m: re.Match) -> str:
+    return f"{m[1]}'{m[2].replace('*', '?').replace('%', '*').replace('_', '?')}'"
+
+
 def run(spark: SparkSession, sql: str, args: list | dict | None = None) -> DataFrame:
+    """A query with ``<#>`` goes through the tensor query language, which knows its operands' types."""
+    if any("<#>" in part for part in _STRINGS.split(sql)[::2]):
+        from .. import api
+
+        return api.query(re.sub(r"(\bi?like\s+)'((?:[^']|'')*)'", _glob, sql, flags=re.I), spark, params=list(args.values() if isinstance(args, dict) else args or ()))
     return spark.sql(translate(sql), args=args) if args else spark.sql(translate(sql))

@@ -102,6 +102,53 @@ def test_golden_hybrid_matrices(hybrid):
     close(search.hybrid_search(hybrid, "m", "keywords", "id", [[v / 10 for v in range(1, 9)]], "machine learning", 10), want)
 
 
+Q5, Q8 = "ARRAY[0.1, 0.2, 0.3, 0.4, 0.5]", "ARRAY[ARRAY[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]]"
+
+
+def test_similarity_operator(spark, hybrid):
+    """The operator by its operands' types, in both languages: each is what its function gives, best first."""
+    hybrid.createOrReplaceTempView("sims")
+    for column, query, find in (("e", Q5, "COSINE_SIMILARITY"), ("m", Q8, "MAXSIM"), ("keywords", "'machine learning'", "BM25_SIMILARITY")):
+        want = [tuple(r) for r in api.query(f"SELECT id, {find}({column}, {query}) AS score FROM sims ORDER BY {find}({column}, {query}) DESC LIMIT 10", spark).collect()]
+        assert len(want) == (3 if column == "keywords" else 10)
+        for run in (lambda q: api.query(q, spark), lambda q: sqlcompat.run(spark, q)):
+            assert [tuple(r) for r in run(f"SELECT id, {column} <#> {query} AS score FROM sims ORDER BY {column} <#> {query} LIMIT 10").collect()] == want
+            assert [tuple(r) for r in run(f"SELECT id, {column} <#> {query} AS score FROM sims ORDER BY score DESC LIMIT 10").collect()] == want
+        assert {r.id for r in api.query(f"SELECT id FROM sims WHERE {column} <#> {query} > 1 - 0.5 * 2 + 0.1", spark).collect()} >= {i for i, s in want if s > 0.1}
+    worst = api.query(f"SELECT id FROM sims ORDER BY e <#> {Q5} ASC LIMIT 1", spark).first().id
+    assert worst == 26
+    assert sqlcompat.run(spark, "SELECT id FROM sims WHERE keywords @> 'quantum'").count() == 1
+
+
+@pytest.mark.parametrize("weights", GOLDEN_HYBRID)
+def test_similarity_operator_on_records(spark, hybrid, weights):
+    hybrid.createOrReplaceTempView("sims")
+    w = f", {weights[0]}, {weights[1]}"
+    records = [f"hybrid_record({Q5}, 'machine learning'{w})", f"({Q5}, 'machine learning'{w})::hybrid_record_weighted"] + [f"hybrid_record({Q5}, 'machine learning')"] * (weights == (0.5, 0.5))
+    for r in records:
+        close(sqlcompat.run(spark, f"SELECT id, (e, keywords) <#> {r} AS score FROM sims ORDER BY score LIMIT 10"), GOLDEN_HYBRID[weights])
+    twice = api.query(f"SELECT id, (e, keywords) <#> ({Q5}, 'machine learning')::hybrid_record AS score FROM sims ORDER BY score LIMIT 10", spark)
+    close(twice, {i: 2 * s for i, s in GOLDEN_HYBRID[(0.5, 0.5)].items()})
+
+
+def test_similarity_operator_on_records_of_matrices(spark, hybrid):
+    want = {1: 0.5165116, 10: 0.067588024, 3: 0.06669451, 2: 0.051023006, 4: 0.05040049, 5: 0.05008379, 6: 0.049792252, 7: 0.049529232, 8: 0.049293756, 9: 0.049083292}
+    hybrid.createOrReplaceTempView("sims")
+    close(sqlcompat.run(spark, f"SELECT id, (m, keywords) <#> hybrid_record({Q8}, 'machine learning') AS score FROM sims ORDER BY score LIMIT 10"), want)
+
+
+def test_approximate_maxsim(hybrid):
+    import numpy as np
+
+    q = np.array([[v / 10 for v in range(1, 9)], [0.5, -0.2] * 4])
+    got = hybrid.select("m", T.maxsim_pooled(F.col("m"), T.literal(q.tolist())).alias("p"), T.maxsim_bits(F.col("m"), T.literal(q.tolist())).alias("b")).collect()
+    for r in got:
+        m = np.array(r.m)
+        a, b = m.mean(0), q.mean(0)
+        assert r.p == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-6)
+        assert r.b == pytest.approx(sum(max(np.where((d > 0) == (x > 0), 1, -1).mean() for d in m) for x in q))
+
+
 def test_golden_order(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0]), (3, [7.0, 8.0, 9.0]), (4, [10.0, 11.0, 12.0])], "id int, v array<double>")
     for q in ([4.1, 5.2, 6.3], [4.0, 5.0, 6.0]):
