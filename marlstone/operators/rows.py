@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
@@ -61,8 +64,9 @@ def weight(cases: Sequence[tuple[Column, float]], how: str = "max") -> Column:
 
 
 def sample_by(df: DataFrame, w: Column, n: int | None = None, percent: float | None = None, replace: bool = True, seed: int = 42) -> DataFrame:
-    """Rows by weight.  Without replacement: the greatest of ln(u)/w, a top-k; with: each of n draws falls on the row
-    whose run of cumulative weight holds it, found by joining draws and rows on partition first and run second.
+    """Rows by weight.  Without replacement: the greatest of ln(u)/w, a top-k.  With: n draws are dealt to partitions by
+    their weight, a multinomial over one number each, and in a partition row by row, a binomial of what is left at the
+    row's share of the weight left; one pass, and always n rows where any has a weight.
 
     The count is n, or percent of the rows, or all of them; without replacement no more than there are.
     """
@@ -73,17 +77,39 @@ def sample_by(df: DataFrame, w: Column, n: int | None = None, percent: float | N
     if not replace:
         key = F.log(1 - F.rand(seed)) / F.col("__w")
         return rows.filter("__w > 0").withColumn("__k", key).orderBy(F.desc("__k")).limit(n).drop("__k", "__w")
-    # the draws are dealt to partitions by their weight, then to rows; both passes must see the same partitions
-    rows = stored(rows.filter("__w > 0").withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33)), "weighted")
-    sums = rows.groupBy("__p").agg(F.sum("__w").alias("s"))
-    cum = sums.withColumn("hi", F.sum("s").over(Window.orderBy("__p")))  # a row for each partition
-    total = cum.agg(F.max("hi").alias("t"))
-    spans = F.broadcast(cum.select("__p", (F.col("hi") - F.col("s")).alias("lo"), "hi"))
-    draws = df.sparkSession.range(n).select(F.rand(seed).alias("u")).join(F.broadcast(total)).select((F.col("u") * F.col("t")).alias("x"))
-    dealt = draws.join(spans, (draws.x >= F.col("lo")) & (draws.x < F.col("hi"))).select("__p", (F.col("x") - F.col("lo")).alias("x"))
-    own = Window.partitionBy("__p").orderBy("__m")
-    runs = rows.withColumn("__hi", F.sum("__w").over(own)).withColumn("__lo", F.col("__hi") - F.col("__w"))
-    return runs.join(dealt, "__p").filter("x >= __lo and x < __hi").drop("__p", "__m", "__w", "__hi", "__lo", "x")
+    # both passes must see the same partitions
+    rows = stored(rows.filter("__w > 0").withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33).cast("int")), "weighted")
+    sums = {r["__p"]: r["s"] for r in rows.groupBy("__p").agg(F.sum("__w").alias("s")).collect()}  # a number for each partition
+    if not sums:
+        return rows.drop("__p", "__m", "__w").limit(0)
+    share = np.array(list(sums.values()))
+    draws = dict(zip(sums, np.random.default_rng(seed).multinomial(n, share / share.sum()).tolist()))
+    dealt = partial(_dealt, sums=sums, draws=draws, seed=seed, columns=df.columns)
+    return rows.repartition("__p").sortWithinPartitions("__p", "__m").mapInArrow(dealt, df.schema)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], sums: dict[int, float], draws: dict[int, int], seed: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Repeats each row as often as it is drawn; of rows sorted by partition, one batch and one row are held."""
+    part, left, weight, rng, last = None, 0, 0.0, None, None
+    for b in batches:
+        own, w = b.column(b.schema.get_field_index("__p")).to_numpy(), b.column(b.schema.get_field_index("__w")).to_numpy()
+        rows = b.select(columns)
+        times = np.zeros(b.num_rows, np.int64)
+        for i in range(b.num_rows):
+            if own[i] != part:
+                if left:  # what rounding left over falls on the partition's last row
+                    if i:
+                        times[i - 1] += left
+                    else:
+                        yield last.take(pa.array(np.zeros(left, np.int64)))
+                part = own[i]
+                left, weight, rng = draws[part], sums[part], np.random.default_rng([seed, int(part)])
+            k = left if w[i] >= weight else int(rng.binomial(left, w[i] / weight)) if left else 0
+            times[i], left, weight = k, left - k, weight - w[i]
+        yield rows.take(pa.array(np.repeat(np.arange(b.num_rows), times)))
+        last = rows.slice(b.num_rows - 1, 1) if b.num_rows else last
+    if left:
+        yield last.take(pa.array(np.zeros(left, np.int64)))
 
 
 def _checked(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ change is lost.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -262,15 +263,16 @@ class Dataset:
     def _place(self, path: str) -> str:
         return path if "://" in path or path.startswith("/") else f"{self.uri}/{path}"
 
-    def _scan(self, parts: list, schema: StructType, files: bool = False) -> DataFrame:
+    def _scan(self, parts: list, schema: StructType, files: bool = False, only: list[set[str]] | None = None) -> DataFrame:
         """The rows of ``parts`` with their dense _row_id; with ``files`` their path and file too.  Files of one folder
-        are one scan, whose numbers are looked up by the file's number and its place in it."""
+        are one scan, whose numbers are looked up by the file's number and its place in it.  ``only`` names each part's files to read."""
         groups: dict[str, list] = {}
         base = 0
-        for p in parts:
+        for k, p in enumerate(parts):
             g = groups.setdefault(json.dumps([p["path"], sorted(p["columns"]), p["names"]]), [p, [], {}])
             for name, n in p["files"]:
-                g[1].append(name)
+                if only is None or name in only[k]:
+                    g[1].append(name)
                 g[2][_number(name)] = base
                 base += n
         out = None
@@ -298,6 +300,19 @@ class Dataset:
         s = self._state()
         return self._scan(s["parts"], StructType.fromJson(s["schema"]))
 
+    def take(self, numbers: Sequence[int]) -> DataFrame:
+        """The rows of a list of numbers that fits the driver, from the files alone that hold them."""
+        s, want, parts, base = self._state(), sorted(set(numbers)), [], 0
+        for p in s["parts"]:
+            files = []
+            for f in p["files"]:
+                at = bisect.bisect_left(want, base)
+                if at < len(want) and want[at] < base + f[1]:
+                    files.append(f)
+                base += f[1]
+            parts.append({f[0] for f in files})
+        return self._scan(s["parts"], StructType.fromJson(s["schema"]), only=parts).filter(F.col(ROW_ID).isin(want))
+
     # writes
 
     def _write(self, df: DataFrame, part: str | None = None) -> dict:
@@ -565,6 +580,10 @@ class Dataset:
     def metadata(self, **values) -> dict:
         return self._change_refs(lambda refs: refs["metadata"].update(values))["metadata"] if values else self._refs()["metadata"]
 
+    def change_metadata(self, change) -> None:
+        """``change`` edits the newest metadata in place, so that writers do not undo each other's."""
+        self._change_refs(lambda refs: change(refs["metadata"]))
+
     def push(self, target: str) -> None:
         """Copies the data folders and commits that ``target`` lacks, then moves its branches on; a branch that has
         commits there which are not here is an error, and nothing is moved."""

@@ -14,6 +14,7 @@ from marlstone.functions import text as X
 from marlstone.operators import rows, search, sequences, stats
 from marlstone.operators.indexes import Indexes
 from marlstone.plans import sqlcompat
+from marlstone.sources import dataset as sources_dataset
 from marlstone.sources import io, paths
 from marlstone.sources.dataset import Dataset
 from marlstone.sources.storage import Reader, Writer
@@ -267,6 +268,18 @@ def test_sample_follows_weights(spark):
     assert rows.sample_by(df, F.lit(0.0), 10, replace=False).count() == 0
 
 
+def test_sample_is_always_whole(spark):
+    """n rows whatever the rounding, over many partitions and in one; shares follow the weights."""
+    df = spark.range(2000).withColumn("w", F.when(F.col("id") % 4 == 0, 0.1).when(F.col("id") % 4 == 1, 0.7).when(F.col("id") == 2, -1.0).otherwise(F.lit(None).cast("double")))
+    for parts, n in ((1, 50_000), (7, 50_000), (7, 3), (1, 0)):
+        got = rows.sample_by(df.repartition(parts), F.col("w"), n)
+        assert got.columns == df.columns and got.count() == n
+        if n > 1000:
+            assert abs(got.filter("id % 4 = 1").count() / n - 7 / 8) < 0.01 and got.filter("id % 4 > 1").isEmpty()
+            assert got.distinct().count() > 900
+    assert rows.sample_by(df.filter("w is null"), F.col("w"), 5).count() == 0
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, [1, 2, 3], "a"), (2, [], "b"), (3, [4], "c")], "k int, v array<int>, s string")
     assert sorted((r.k, r.v) for r in sequences.ungroup_split(df, ["v"]).collect()) == [(1, 1), (1, 2), (1, 3), (3, 4)]
@@ -329,6 +342,100 @@ def test_datasets(spark):
     assert not Dataset.exists(spark, uri)
 
 
+def test_merge_after_deletes(spark):
+    """A branch's new rows are known whatever it deleted or changed besides; nothing is copied."""
+    d = Dataset.create(spark, paths.work_path(spark, "merge"), "a int, b string")
+    d.append({"a": [1, 2, 3], "b": ["x", "y", "z"]})
+    d.commit("base")
+    b = d.create_branch("side")
+    b.delete("a = 1")
+    b.append({"a": [8, 9], "b": ["n", "n"]})
+    b.update("a = 9", {"b": "changed"})
+    b.append({"a": [10], "b": ["n"]})
+    b.delete("a = 10")
+    b.commit("side")
+    d.append({"a": [4], "b": ["own"]})
+    d.commit("own")
+    d.merge("side")
+    d.commit("merged")
+    assert sorted((r.a, r.b) for r in d.df().collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, "own"), (8, "n"), (9, "changed")]
+    assert [r._row_id for r in d.df().orderBy("_row_id").collect()] == list(range(6))
+    d.merge("side")  # nothing twice
+    assert len(d) == 6
+
+
+def test_writes_touch_few_files(spark):
+    d = Dataset.create(spark, paths.work_path(spark, "parts"), "id long, v long")
+    d.append(spark.range(0, 800, 1, 8).select("id", (F.col("id") * 2).alias("v")))
+    d.commit("rows")
+    before = {(p["path"], f[0]) for p in d._state()["parts"] for f in p["files"]}
+    d.update("id = 250", {"v": -1})
+    d.delete("id in (10, 777)")
+    d.commit("changes")
+    after = {(p["path"], f[0]) for p in d._state()["parts"] for f in p["files"]}
+    assert len(before) == 8 and len(before & after) == 5
+    want = [(i, -1 if i == 250 else 2 * i) for i in range(800) if i not in (10, 777)]
+    assert [(r.id, r.v, r._row_id) for r in d.df().orderBy("_row_id").collect()] == [(i, v, k) for k, (i, v) in enumerate(want)]
+    assert [r.id for r in d.take([0, 10, 797]).orderBy("_row_id").collect()] == [want[k][0] for k in (0, 10, 797)]
+    d.delete("id % 100 = 5")
+    d.update("id % 50 = 1", {"v": 0})
+    d.commit("all files")
+    assert d.df().count() == len(d) == 790 and d.df().filter("v = 0").count() == 17
+    d.delete("true")
+    d.commit("none")
+    assert len(d) == 0 and d.df().count() == 0
+
+
+def test_concurrent_writers(spark):
+    """Appends of two writers both stay; of two commits that began at one state the second fails and says so."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    uri = paths.work_path(spark, "both")
+    Dataset.create(spark, uri, "a int")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: Dataset.open(spark, uri).append({"a": [i]}), range(6)))
+    d = Dataset.open(spark, uri)
+    d.commit("six")
+    assert sorted(r.a for r in d.df().collect()) == list(range(6))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: Dataset.open(spark, uri).tag(f"t{i}"), range(6)))
+    assert len(d.tags()) == 6
+    one, two = Dataset.open(spark, uri), Dataset.open(spark, uri)
+    seen = two._state()
+    one.append({"a": [10]})
+    with pytest.raises(E.DatasetError, match="another writer"):
+        two._staged(seen, seen["parts"], two.schema, {"op": "update"})
+    n, w = one._working()
+    one.commit("first")
+    files = sources_dataset._Register(two.files, "working/main")
+    files.swap(files.load()[0], w)  # what a writer that stopped midway would leave
+    with pytest.raises(E.DatasetError, match="another writer"):
+        two.commit("second")
+    assert sorted(r.a for r in Dataset.open(spark, uri).df().collect()) == [*range(6), 10]
+
+
+def test_dataset_openings(spark):
+    uri = paths.work_path(spark, "src")
+    spark.range(5).write.parquet(uri)
+    d = Dataset.convert(spark, uri, paths.work_path(spark, "conv"))
+    link = Dataset.link(spark, d.uri, paths.work_path(spark, "link"))
+    link.append(spark.range(5, 7))
+    link.delete("id = 0")
+    link.commit("own")
+    assert sorted(r.id for r in link.df().collect()) == [1, 2, 3, 4, 5, 6] and len(d) == 5
+    with pytest.raises(E.DatasetError):
+        Dataset.open_read_only(spark, d.uri).append(spark.range(1))
+    d.tag_view("big", "SELECT id WHERE id > 2")
+    d.append(spark.range(9, 10))
+    d.commit("more")
+    assert d.views() == ["big"] and sorted(r.id for r in d.view("big").collect()) == [3, 4]
+    far = Dataset.copy(spark, d.uri, paths.work_path(spark, "far"))
+    far.append(spark.range(1))
+    far.commit("there")
+    with pytest.raises(E.DatasetError, match="pull"):
+        d.push(far.uri)
+
+
 def test_statements(spark):
     db = Database(spark, paths.work_path(spark, "db"))
     db.execute("CREATE TABLE p (id SERIAL PRIMARY KEY, name VARCHAR(50) DEFAULT 'it''s', age int4, pay numeric(10,2), tags text[]) USING tensors")
@@ -440,21 +547,70 @@ def test_indexes(spark):
     assert ix.contains("s", "WORD2").count() == 80
     d.append(spark.createDataFrame([(1000, "word2 late", 1, vec(1))], d.schema))
     assert ix.contains("s", "word2").count() == 81  # the side table is out of date: the rows are read
+    d.commit("late")
+    ix.refresh()
+    assert ix._fresh(ix._entry("s")) and ix.find(("s", "contains", "word2"), ("n", "=", 1)).count() == 1
+    assert {r.id for r in ix.find(("s", "contains", "word2"), ("n", "between", 2, 5)).collect()} == {i for i in range(400) if i % 5 == 2 and 2 <= i % 10 <= 5}
     ix.drop("s")
     ix.create("s", "exact_text")
     assert ix.equals("s", "word1 thing").count() == 80
 
 
+SCORED = {"bm25": ("s", "zebra late"), "clustered": ("v", [1.0, 0.0, 0.5, 0.2]), "clustered_quantized": ("v", [1.0, 0.0, 0.5, 0.2]), "pooled_quantized": ("m", [[1.0, 0.0], [0.3, 0.4]])}
+
+
+@pytest.mark.parametrize("kind", ["inverted", "inverted n", "json", "exact_text", *SCORED])
+def test_indexes_follow_every_write(spark, kind):
+    """After an update in place, a deletion and a new row, committed or not, and after a refresh, an index answers as the
+    rows do."""
+    d = Dataset.create(spark, paths.work_path(spark, "fresh"), "id int, s string, n int, j string, v array<float>, m array<array<float>>")
+    row = lambda i, word: {"id": i, "s": f"{word} thing {i}", "n": i % 7, "j": json.dumps({"a": {"b": word}, "n": i}), "v": [math.sin(i * 3 + j) for j in range(4)], "m": [[math.cos(i), math.sin(i)], [1.0, i / 9]]}
+    d.append([row(i, ("apple", "none", "zebra")[i % 3]) for i in range(90)])
+    d.commit("rows")
+    ix = Indexes(d)
+    column = SCORED[kind][0] if kind in SCORED else {"inverted": "s", "inverted n": "n", "json": "j", "exact_text": "s"}[kind]
+    ix.create(column, kind.split()[0], clusters=4)
+
+    def agrees() -> None:
+        all_rows = d.df().collect()
+        if kind in SCORED:
+            want = X.bm25(d.df(), "s", "_row_id", SCORED[kind][1]) if kind == "bm25" else search.maxsim_top_k(d.df(), "m", SCORED[kind][1], 200, "_row_id") if column == "m" else search.cosine_top_k(d.df(), "v", SCORED[kind][1], 200, "_row_id")
+            got = {r._row_id: r.score for r in ix.top_k(column, SCORED[kind][1], 200, search.SearchConfig.high()).collect()}
+            assert got == pytest.approx({r._row_id: r.score for r in want.collect()}, abs=1e-5)
+            return
+        ask = {"inverted": ("s", "contains", "apple"), "inverted n": ("n", ">=", 5), "json": ("j", "json", "a.b", "apple"), "exact_text": ("s", "=", "apple thing 3")}[kind]
+        holds = {"inverted": lambda r: "apple" in r.s.split(), "inverted n": lambda r: r.n >= 5, "json": lambda r: json.loads(r.j)["a"]["b"] == "apple", "exact_text": lambda r: r.s == "apple thing 3"}[kind]
+        assert sorted(r._row_id for r in ix.find(ask).collect()) == sorted(r._row_id for r in all_rows if holds(r))
+
+    agrees()
+    d.update("id = 3", {"s": "apple pie", "n": 6, "j": json.dumps({"a": {"b": "none"}}), "v": F.lit([1.0, 0.0, 0.5, 0.2]), "m": F.array(F.array(F.lit(1.0), F.lit(0.0)))})
+    agrees()
+    d.update("id = 4", {"s": "apple thing 3", "n": 5, "j": json.dumps({"a": {"b": "apple"}})})
+    d.commit("updates")
+    assert len(d) == 90
+    agrees()
+    d.delete("id = 0")
+    d.append([row(0, "zebra")])
+    d.commit("as many rows as before")
+    agrees()
+    ix.refresh()
+    assert ix._fresh(ix._entry(column))
+    agrees()
+
+
+#: Recall with queries vec_id % 100 = 0 over all rows of sf0.1. These vectors have no clusters; balanced and fast, which
+#: read 5 and 1 of 32, found 0.75 and 0.39.
 @pytest.mark.parametrize("quantised", [False, True])
 def test_clustered_recall(spark, quantised):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    index = search.ClusteredIndex.build(e, "vec_id", "embedding", paths.work_path(spark, "cl"), clusters=16, quantised=quantised)
-    hit = n = 0
-    for q in e.filter("vec_id % 100 = 0").collect():
-        want = {r.vec_id for r in search.cosine_top_k(e, "embedding", q.embedding, 10, "vec_id").collect()}
-        got = {r.vec_id for r in index.search(q.embedding, 10, search.SearchConfig.high()).collect()}
-        hit, n = hit + len(want & got), n + len(want)
-    assert hit / n >= 0.9
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    index = search.ClusteredIndex.build(e, "vec_id", "embedding", paths.work_path(spark, "cl"), clusters=32, quantised=quantised)
+    queries = [r.embedding for r in e.filter("vec_id % 100 = 0").collect()]
+    want = [{r.vec_id for r in search.cosine_top_k(e, "embedding", q, 10, "vec_id").collect()} for q in queries]
+    recall = {}
+    for name in ("default", "high"):
+        got = [{r.vec_id for r in index.search(q, 10, getattr(search.SearchConfig, name)()).collect()} for q in queries]
+        recall[name] = sum(len(a & b) for a, b in zip(want, got)) / (10 * len(queries))
+    assert recall["default"] >= 0.9 and recall["high"] >= 0.9
 
 
 def test_quantised_search_past_its_candidates(spark):
