@@ -18,7 +18,8 @@ from ..sources.dataset import Dataset
 from ..sources.paths import work_path
 from ..sources.tables import Database
 from ..streaming import events as streams
-from .tql_queries import _COS, _E, _HEX, _M, _Q, _WORDS, ORDER, Folder, _j, bm25_sql, flattened
+from . import sqlcompat
+from .tql_queries import _COS, _E, _HEX, _M, _MT, _Q, _QT, _WORDS, ORDER, Folder, _j, bm25_sql, flattened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,12 +128,12 @@ def order_by_random(spark, t):
     return got.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
-@query("SELECT label, ['c0', 'c1', 'c2'][label + 1] AS name FROM embeddings WHERE label < 3 UNION ALL SELECT (label + 1) % 3, ['c1', 'c2', 'c0'][label + 1] FROM embeddings WHERE label < 3")
+@query("SELECT label, 'c' || label AS name FROM embeddings UNION ALL SELECT (label + 1) % 64, 'c' || (label + 1) % 64 FROM embeddings")
 def class_label_union(spark, t):
     """The second side's numbers follow their names: its names stand in another order."""
-    own = t["embeddings"].filter("label < 3").select("label")
-    a = rows.class_label(own, "label", ["c0", "c1", "c2"])
-    b = rows.class_label(own, "label", ["c1", "c2", "c0"])
+    own, names = t["embeddings"].select("label"), [f"c{i}" for i in range(64)]
+    a = rows.class_label(own, "label", names)
+    b = rows.class_label(own, "label", names[1:] + names[:1])
     both = rows.union_labels(a, b, "label")
     return both.select("label", rows.label_name("label", rows.class_names(both.schema["label"])).alias("name"))
 
@@ -186,9 +187,9 @@ def arr_bincount(spark, t):
     return flattened(seqs.select("user_id", T.bincount(F.col("v"), 4).alias("c")))
 
 
-@query(f"SELECT vec_id, {_j(f'[({_E}[1] + {_E}[3]) / 2, ({_E}[2] + {_E}[4]) / 2]')} AS m FROM embeddings")
+@query(f"SELECT vec_id, {_j(f'list_transform(range(1, 33), lambda i: ({_E}[i] + {_E}[i + 32]) / 2)')} AS m FROM embeddings")
 def arr_mean_rows(spark, t):
-    m = F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2))
+    m = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
     return flattened(t["embeddings"].select("vec_id", T.mean_rows(m).alias("m")))
 
 
@@ -211,10 +212,10 @@ def vec_quantised_search(spark, t):
     return rounded(index.search(_Q, 5, search.SearchConfig(8, 50.0), exact=True), "score")
 
 
-@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in (1, 5, 9))})" for r in _M) + " AS score FROM embeddings) ORDER BY score DESC LIMIT 10")
+@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in range(1, 65, 4))})" for r in _M) + " AS score FROM embeddings) ORDER BY score DESC LIMIT 10")
 def vec_pooled_search(spark, t):
     """Matrices ranked by MAXSIM, all of them: candidates by their mean rows would make it inexact on large tables."""
-    m = t["embeddings"].select("vec_id", F.array(*(F.slice("embedding", a, 4) for a in (1, 5, 9))).alias("m"))
+    m = t["embeddings"].select("vec_id", F.array(*(F.slice("embedding", a, 4) for a in range(1, 65, 4))).alias("m"))
     return rounded(search.pooled_top_k(m, "m", _M, 10, "vec_id", search.SearchConfig(10, 1e5), exact=True), "score")
 
 
@@ -224,11 +225,11 @@ def vec_topk_per_label(spark, t):
     return rounded(got.select("label", "vec_id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND CAST(a.embedding AS DOUBLE[]) < CAST(b.embedding AS DOUBLE[]) WHERE a.label = 0")
+@query("SELECT b.vec_id AS vec_id, CAST(a.embedding AS DOUBLE[]) < CAST(b.embedding AS DOUBLE[]) AS greater FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vec_ordering(spark, t):
-    """Arrays compare element by element."""
-    e = t["embeddings"].filter("label = 0")
-    return e.alias("a").join(e.alias("b"), F.expr("a.label = b.label and a.vec_id < b.vec_id and a.embedding < b.embedding")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
+    """Arrays compare element by element: each vector with the one before it."""
+    e = t["embeddings"]
+    return e.alias("a").join(e.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select("b.vec_id", (F.col("a.embedding") < F.col("b.embedding")).alias("greater"))
 
 
 # text
@@ -254,6 +255,74 @@ def hybrid_topk(spark, t):
     return rounded(search.hybrid(search.cosine_top_k(vectors, "embedding", _Q, 10, "doc_id"), search.bm25_top_k(t["documents"], "text", _WORDS, 10, "doc_id"), 10, "doc_id", 0.3, 0.7), "score")
 
 
+@query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC LIMIT 12")
+def similarity_vectors(spark, t):
+    t["embeddings"].createOrReplaceTempView("embeddings")
+    return rounded(sqlcompat.run(spark, f"SELECT vec_id, embedding <#> {_QT} AS score FROM embeddings ORDER BY score LIMIT 12"), "score")
+
+
+_MATRIX = "ARRAY[" + ", ".join(f"embedding[{a}:{a + 4}]" for a in range(0, 64, 4)) + "]"
+
+
+@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in range(1, 65, 4))})" for r in _M) + " AS score FROM embeddings) WHERE score > 1")
+def similarity_matrices(spark, t):
+    return rounded(api.query(f"SELECT vec_id, {_MATRIX} <#> {_MT} AS score FROM embeddings WHERE {_MATRIX} <#> {_MT} > 1", spark, tables=t, order=ORDER), "score")
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({bm25_sql(_WORDS)}) ORDER BY score DESC LIMIT 12")
+def similarity_texts(spark, t):
+    t["documents"].createOrReplaceTempView("documents")
+    return rounded(sqlcompat.run(spark, f"SELECT doc_id, text <#> '{_WORDS}' AS score FROM documents ORDER BY text <#> '{_WORDS}' LIMIT 12"), "score")
+
+
+@query(_HYBRID)
+def similarity_records(spark, t):
+    both = t["documents"].select("doc_id", "text").join(t["embeddings"], F.expr("doc_id = vec_id"), "left")
+    q = f"SELECT doc_id, (embedding, text) <#> ({_QT}, '{_WORDS}', 0.3, 0.7)::hybrid_record_weighted AS score FROM both ORDER BY score LIMIT 10"
+    return rounded(api.query(q, spark, tables={"both": both}, order={"both": ["doc_id"]}), "score")
+
+
+def _indexed(spark, df: DataFrame, name: str, **kinds: str) -> Indexes:
+    d = Dataset.create(spark, work_path(spark, name), df.schema)
+    d.append(df)
+    d.commit(name)
+    for column, kind in kinds.items():
+        Indexes(d).create(column, kind)
+    return Indexes(d)
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({bm25_sql(_WORDS)})")
+def index_bm25(spark, t):
+    """Scores from stored postings, of which the query's terms alone are read."""
+    ix = _indexed(spark, t["documents"].select("doc_id", "text"), "postings", text="bm25")
+    return rounded(ix.d.df().join(ix.bm25_scores("text", _WORDS), rows.ROW_ID).select("doc_id", "score"), "score")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 30 AND p_brand = 'Brand#2' AND p_type IN ('ECONOMY', 'PROMO')")
+def index_intersection(spark, t):
+    """Row numbers from two indexes meet before a row is read; the rest is checked on what is left."""
+    ix = _indexed(spark, t["part"], "parts", p_size="inverted", p_brand="exact_text")
+    return ix.find(("p_size", "between", 10, 30), ("p_brand", "=", "Brand#2")).filter("p_type in ('ECONOMY', 'PROMO')").select("p_partkey")
+
+
+@query("SELECT event_id FROM events WHERE CAST(props ->> 'k' AS BIGINT) = 69")
+def index_json(spark, t):
+    return _indexed(spark, t["events"].select("event_id", "props"), "events", props="json").json_equals("props", "k", 69).select("event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 10.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_custkey % 11 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey % 11 = 0) WHERE o_totalprice < 5000")
+def index_after_writes(spark, t):
+    """Updated, deleted and inserted again: as many rows as before, and the index is not trusted until it is built again."""
+    ix = _indexed(spark, t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), "orders", o_totalprice="inverted")
+    ix.d.update("o_orderkey % 7 = 0", {"o_totalprice": 10.0})
+    ix.d.delete("o_custkey % 11 = 0")
+    ix.d.append(t["orders"].filter("o_custkey % 11 = 0").select("o_orderkey", "o_custkey", "o_totalprice"))
+    ix.d.commit("changes")
+    stale = ix.compare("o_totalprice", "<", 5000).filter("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice")
+    ix.refresh()
+    return stale.union(ix.compare("o_totalprice", "<", 5000).filter("o_orderkey % 2 <> 0").select("o_orderkey", "o_totalprice"))
+
+
 @query(f"SELECT doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {_HEX}))) AS w FROM documents) WHERE w = 'inenan'")
 def text_inverted_index(spark, t):
     d = Dataset.create(spark, work_path(spark, "indexed"), t["documents"].select("doc_id", "text").schema)
@@ -334,6 +403,23 @@ def dataset_branch_merge(spark, t):
     return d.df().select(F.col("k").alias("r_regionkey"), F.col("name").alias("r_name"))
 
 
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, CASE WHEN r_regionkey = 1 THEN 'changed' ELSE r_name END FROM region WHERE r_regionkey <> 3")
+def dataset_merge_after_deletes(spark, t):
+    """The branch deletes old rows, which stay here, and changes and deletes some of those that it added."""
+    d = Dataset.create(spark, work_path(spark, "nations"), "k long, name string")
+    d.append(t["nation"].select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")))
+    d.commit("nations")
+    b = d.create_branch("more")
+    b.delete("k % 3 = 0")
+    b.append(t["region"].select((F.col("r_regionkey") + 100).cast("long").alias("k"), F.col("r_name").alias("name")))
+    b.update("k = 101", {"name": "changed"})
+    b.delete("k = 103")
+    b.commit("regions")
+    d.merge("more")
+    d.commit("merged")
+    return d.df().drop(rows.ROW_ID)
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10")
 def dataset_time_travel(spark, t):
     nations = t["nation"].select("n_nationkey", "n_name")

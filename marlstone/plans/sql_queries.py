@@ -142,7 +142,7 @@ GROUP BY segment ORDER BY segment""",
     "sql_join_full": "SELECT a.doc_id AS doc_id, b.doc_id AS label_id, b.toxic AS toxic FROM documents a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id + 300",
     "sql_join_cross": "SELECT a.r_name AS a_name, b.r_name AS b_name FROM region a CROSS JOIN region b",
     "sql_join_comma": "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey",
-    "sql_join_natural": "SELECT item_id, n FROM benchmark NATURAL JOIN (SELECT item_id, length(text) AS n FROM benchmark WHERE item_id < 20) b",
+    "sql_join_natural": "SELECT item_id, n FROM benchmark NATURAL JOIN (SELECT item_id, length(text) AS n FROM benchmark) b",
     "sql_join_using": "SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)",
     "sql_join_self": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "sql_join_theta": "SELECT a.n_name AS a_name, b.r_name AS b_name FROM nation a JOIN region b ON a.n_nationkey > b.r_regionkey * 5",

@@ -125,7 +125,7 @@ TQL: dict[str, tuple[str, str]] = {
     "tql_any_all": ("SELECT vec_id, ANY(embedding > 0.3) AS some, ALL(embedding < 0.35) AS every, ALL_STRICT(embedding[0:0] > 0) AS none FROM embeddings", f"SELECT vec_id, list_max({_E}) > 0.3 AS some, list_max({_E}) < 0.35 AS every, false AS none FROM embeddings"),
     "tql_any_filter": ("SELECT vec_id FROM embeddings WHERE ANY(embedding > 0.3)", f"SELECT vec_id FROM embeddings WHERE list_max({_E}) > 0.3"),
     "tql_logical": ("SELECT vec_id, SUM(LOGICAL_AND(embedding > 0, embedding < 0.1)::int) AS n, SUM(LOGICAL_NOT(embedding > 0)::int) AS m, SUM(LOGICAL_OR(embedding > 0.2, embedding < -0.2)::int) AS o FROM embeddings", f"SELECT vec_id, CAST(len(list_filter({_E}, lambda x: x > 0 AND x < 0.1)) AS DOUBLE) AS n, CAST(len(list_filter({_E}, lambda x: NOT x > 0)) AS DOUBLE) AS m, CAST(len(list_filter({_E}, lambda x: x > 0.2 OR x < -0.2)) AS DOUBLE) AS o FROM embeddings"),
-    "tql_isclose": ("SELECT vec_id FROM embeddings WHERE ISCLOSE(embedding[0], embedding[0] + 0.000000001)", "SELECT vec_id FROM embeddings"),
+    "tql_isclose": ("SELECT vec_id FROM embeddings WHERE ISCLOSE(embedding[0], embedding[0] + label * 0.00001)", "SELECT vec_id FROM embeddings WHERE label * 0.00001 <= 0.00000001 + 0.00001 * abs(embedding[1] + label * 0.00001)"),
     # joins
     "tql_join_inner": ("SELECT n.n_name, r.r_name FROM nation AS n INNER JOIN region AS r ON n.n_regionkey = r.r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "tql_join_left": ("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
@@ -148,7 +148,7 @@ TQL: dict[str, tuple[str, str]] = {
     "ungroup_lengths": ("SELECT vec_id, embedding FROM embeddings UNGROUP BY ARRAY[3, 0, 7]", f"SELECT vec_id, {_j(f'{_E}[a:z]')} AS embedding FROM embeddings, (VALUES (1, 3), (4, 3), (4, 10)) AS t(a, z)"),
     # reducers within a cell
     "arr_reduce": ("SELECT vec_id, SUM(embedding) AS s, AVG(embedding) AS m, AMIN(embedding) AS lo, AMAX(embedding) AS hi, PROD(embedding[0:2]) AS p, STD(embedding) AS sd, MEDIAN(embedding) AS med FROM embeddings", f"SELECT vec_id, list_sum({_E}) AS s, list_avg({_E}) AS m, list_min({_E}) AS lo, list_max({_E}) AS hi, {_E}[1] * {_E}[2] AS p, list_stddev_pop({_E}) AS sd, list_median({_E}) AS med FROM embeddings"),
-    "arr_reduce_axis": ("SELECT vec_id, AVG(ARRAY[embedding[0:3], embedding[3:6]], axis=0) AS down, SUM(ARRAY[embedding[0:3], embedding[3:6]], axis=1) AS rowwise FROM embeddings", f"SELECT vec_id, {_j(f'list_transform(range(1, 4), lambda i: ({_E}[i] + {_E}[i + 3]) / 2)')} AS down, {_j(f'[list_sum({_E}[1:3]), list_sum({_E}[4:6])]')} AS rowwise FROM embeddings"),
+    "arr_reduce_axis": ("SELECT vec_id, AVG(ARRAY[embedding[0:32], embedding[32:64]], axis=0) AS down, SUM(ARRAY[embedding[0:32], embedding[32:64]], axis=1) AS rowwise FROM embeddings", f"SELECT vec_id, {_j(f'list_transform(range(1, 33), lambda i: ({_E}[i] + {_E}[i + 32]) / 2)')} AS down, {_j(f'[list_sum({_E}[1:32]), list_sum({_E}[33:64])]')} AS rowwise FROM embeddings"),
     # frames
     "expand_overlap": ("SELECT o_orderkey, o_totalprice FROM orders EXPAND BY 2 1", f"SELECT o_orderkey, {_j('list(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)')} AS o_totalprice FROM orders"),
     "expand_tiles": ("SELECT o_orderkey, o_totalprice FROM orders EXPAND BY 2 1 OVERLAP FALSE", f"SELECT {_j('list(o_orderkey ORDER BY o_orderkey)')} AS o_orderkey, {_j('list(o_totalprice ORDER BY o_orderkey)')} AS o_totalprice FROM (SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4 AS g FROM orders) GROUP BY g"),
@@ -173,15 +173,15 @@ TQL: dict[str, tuple[str, str]] = {
     "vec_norms": ("SELECT vec_id, L1_NORM(embedding) AS l1, L2_NORM(embedding) AS l2, LINF_NORM(embedding) AS linf FROM embeddings", f"SELECT vec_id, list_sum(list_transform({_E}, lambda x: abs(x))) AS l1, {_LEN} AS l2, list_max(list_transform({_E}, lambda x: abs(x))) AS linf FROM embeddings"),
     "vec_dot": (f"SELECT vec_id, DOT(embedding, {_QT}) AS d, INNER_PRODUCT(embedding, embedding) AS own FROM embeddings", f"SELECT vec_id, {_DOT} AS d, list_sum(list_transform({_E}, lambda x: x * x)) AS own FROM embeddings"),
     "vec_hamming": ("SELECT vec_id, HAMMING_DISTANCE(embedding > 0, embedding > 0.05) AS d FROM embeddings", f"SELECT vec_id, len(list_filter({_E}, lambda x: x > 0 AND x <= 0.05)) AS d FROM embeddings"),
-    "vec_maxsim": (f"SELECT vec_id, MAXSIM(ARRAY[embedding[0:4], embedding[4:8], embedding[8:12]], {_MT}) AS score FROM embeddings", "SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in (1, 5, 9))})" for r in _M) + " AS score FROM embeddings"),
+    "vec_maxsim": (f"SELECT vec_id, MAXSIM(ARRAY[{', '.join(f'embedding[{a}:{a + 4}]' for a in range(0, 64, 4))}], {_MT}) AS score FROM embeddings", "SELECT vec_id, " + " + ".join(f"greatest({', '.join(f'list_cosine_similarity({_E}[{a}:{a + 3}], CAST({r} AS DOUBLE[]))' for a in range(1, 65, 4))})" for r in _M) + " AS score FROM embeddings"),
     # arrays
     "arr_index": ("SELECT vec_id, embedding[0] AS a, embedding[-1] AS z, embedding[label] AS nth FROM embeddings", "SELECT vec_id, embedding[1] AS a, embedding[64] AS z, embedding[label + 1] AS nth FROM embeddings"),
     "arr_slice": ("SELECT vec_id, embedding[2:6] AS mid, embedding[:3] AS head, embedding[-2:] AS tail, embedding[::16] AS each, ARRAY[embedding[0:2], embedding[2:4]][:, 0] AS first FROM embeddings", f"SELECT vec_id, {_j(f'{_E}[3:6]')} AS mid, {_j(f'{_E}[1:3]')} AS head, {_j(f'{_E}[63:64]')} AS tail, {_j(f'[{_E}[1], {_E}[17], {_E}[33], {_E}[49]]')} AS each, {_j(f'[{_E}[1], {_E}[3]]')} AS first FROM embeddings"),
     "arr_shape": ("SELECT vec_id, SHAPE(embedding) AS s, SHAPE(ARRAY[embedding[0:2], embedding[2:4]]) AS m FROM embeddings", "SELECT vec_id, '64000' AS s, '2000,2000' AS m FROM embeddings"),
     "arr_data": ("SELECT vec_id, DOT(embedding, DATA(embedding, 3)) AS d FROM embeddings", f"SELECT vec_id, (SELECT list_sum(list_transform(range(1, 65), lambda i: {_E}[i] * q.e[i])) FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1 OFFSET 3) q) AS d FROM embeddings"),
-    "arr_nonzero": ("SELECT vec_id, NONZERO((embedding[0:16] > 0.1)::int) AS at FROM embeddings", f"SELECT vec_id, array_to_string(list_transform(list_filter(range(0, 16), lambda i: {_E}[i + 1] > 0.1), lambda i: i * 1000), ',') AS at FROM embeddings"),
+    "arr_nonzero": ("SELECT vec_id, NONZERO((embedding > 0.1)::int) AS at FROM embeddings", f"SELECT vec_id, array_to_string(list_transform(list_filter(range(0, 64), lambda i: {_E}[i + 1] > 0.1), lambda i: i * 1000), ',') AS at FROM embeddings"),
     "arr_elementwise": ("SELECT vec_id, embedding[0:3] + embedding[3:6] AS a, embedding[0:3] * 2 - 1 AS s, -embedding[0:2] / 4 AS n, ABS(embedding[0:3]) AS b, SQRT(ABS(embedding[0:3])) AS q FROM embeddings", f"SELECT vec_id, {_j(f'[{_E}[1] + {_E}[4], {_E}[2] + {_E}[5], {_E}[3] + {_E}[6]]')} AS a, {_j(f'list_transform({_E}[1:3], lambda x: x * 2 - 1)')} AS s, {_j(f'list_transform({_E}[1:2], lambda x: -x / 4)')} AS n, {_j(f'list_transform({_E}[1:3], lambda x: abs(x))')} AS b, {_j(f'list_transform({_E}[1:3], lambda x: sqrt(abs(x)))')} AS q FROM embeddings"),
-    "arr_rearrange": ("SELECT vec_id, FLAT(ARRAY[embedding[0:2], embedding[2:4]]) AS f, TRANSPOSE(ARRAY[embedding[0:2], embedding[2:4]]) AS t, ARANGE(0, label) AS r FROM embeddings", f"SELECT vec_id, {_j(f'{_E}[1:4]')} AS f, {_j(f'[{_E}[1], {_E}[3]]')} || ';' || {_j(f'[{_E}[2], {_E}[4]]')} AS t, array_to_string(list_transform(range(0, label), lambda i: i * 1000), ',') AS r FROM embeddings"),
+    "arr_rearrange": ("SELECT vec_id, FLAT(ARRAY[embedding[0:32], embedding[32:64]]) AS f, TRANSPOSE(ARRAY[embedding[0:32], embedding[32:64]]) AS t, ARANGE(0, label) AS r FROM embeddings", f"SELECT vec_id, {_j(_E)} AS f, {" || ';' || ".join(_j(f'[{_E}[{i}], {_E}[{i + 32}]]') for i in range(1, 33))} AS t, array_to_string(list_transform(range(0, label), lambda i: i * 1000), ',') AS r FROM embeddings"),
     # JSON
     "json_path": ("SELECT event_id, CAST(props['k'] AS int64) AS k FROM events WHERE props['k'] = '69'", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k FROM events WHERE (props ->> 'k') = '69'"),
     "json_missing": ("SELECT event_id, props['nothing'] AS v, KEYS(props) AS ks FROM events", "SELECT event_id, props ->> 'nothing' AS v, array_to_string(json_keys(props), ',') AS ks FROM events"),
