@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 
@@ -11,8 +13,9 @@ from .errors import QueryError
 from .functions.registry import has_function, register_function, unregister_function
 from .plans.lower import Context, Lowering
 from .plans.parser import Select, SetOp, keywords, parse
+from .sources.paths import stored
 
-__all__ = ["Executor", "explain_query", "has_function", "is_filter", "is_valid", "keywords", "parse", "prepare_query", "query", "query_async", "register_function", "unregister_function"]
+__all__ = ["Executor", "QueryFuture", "explain_query", "has_function", "is_filter", "is_valid", "keywords", "parse", "prepare_query", "query", "query_async", "register_function", "unregister_function"]
 
 _pool: list[ThreadPoolExecutor] = []
 
@@ -47,17 +50,47 @@ def prepare_query(text: str, **where) -> Executor:
     return Executor(text, **where)
 
 
-def explain_query(text: str, **where) -> str:
-    """The plan as text; its parsed form is ``parse(text)``."""
+def explain_query(text: str, as_json: bool = False, **where) -> str:
+    """The plan as text, or as JSON: the parsed query, the optimised and the physical plan, whose nodes are listed from
+    the root on.  Nothing is run."""
     df = query(text, **where)
+    if as_json:
+        plans = df._jdf.queryExecution()
+        return json.dumps({"query": text, "parsed": repr(parse(text)), "optimised": json.loads(plans.optimizedPlan().toJSON()), "physical": json.loads(plans.executedPlan().toJSON())})
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def query_async(text: str, **where) -> Future:
-    """The collected rows as a future."""
-    if not _pool:
-        set_max_num_parallel_queries(4)
-    return _pool[0].submit(lambda: query(text, **where).collect())
+class QueryFuture:
+    """A query that runs in the background.  Its result is a DataFrame over the rows, stored in the shared folder, so
+    nothing is gathered in the driver; ``cancel`` also stops what runs already."""
+
+    def __init__(self, text: str, **where):
+        self.spark = where.get("spark") or SparkSession.getActiveSession()
+        self.tag, where["spark"] = f"query-{uuid.uuid4().hex}", self.spark
+        if not _pool:
+            set_max_num_parallel_queries(4)
+        self._future: Future = _pool[0].submit(self._run, text, where)
+
+    def _run(self, text: str, where: dict) -> DataFrame:
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            return stored(query(text, **where), "async")
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+    def result(self, timeout: float | None = None) -> DataFrame:
+        return self._future.result(timeout)
+
+    def is_completed(self) -> bool:
+        return self._future.done()
+
+    def cancel(self) -> None:
+        self._future.cancel()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
+def query_async(text: str, **where) -> QueryFuture:
+    return QueryFuture(text, **where)
 
 
 def set_max_num_parallel_queries(n: int) -> None:

@@ -13,10 +13,11 @@ from ..errors import FunctionNotFound
 _functions: dict[str, tuple[Callable, int, str]] = {}
 
 
-def register_function(f: Callable, name: str | None = None, returns: str = "double", is_batch: bool = True) -> str:
+def register_function(f: Callable, name: str | None = None, returns: str = "double", is_batch: bool = True, column: str | None = None) -> str:
     """Makes ``f`` callable from queries under its name; of no, one or two arrays.  A batch function gets whole columns
-    as numpy arrays, another one value at a time."""
-    name = (name or f.__name__).lower()
+    as numpy arrays, another one value at a time.  With ``column`` it is that column's own: calls whose first argument
+    is the column find it, before a function of that name for all."""
+    name = own_name((name or f.__name__).lower(), column)
     arity = len(inspect.signature(f).parameters)
     if arity > 2:
         raise ValueError("user functions take two arguments at most")
@@ -24,20 +25,25 @@ def register_function(f: Callable, name: str | None = None, returns: str = "doub
     return name
 
 
-def unregister_function(name: str) -> None:
-    if _functions.pop(name.lower(), None) is None:
+def own_name(name: str, column: str | None) -> str:
+    return name if column is None else f"{column}:{name}"
+
+
+def unregister_function(name: str, column: str | None = None) -> None:
+    if _functions.pop(own_name(name.lower(), column), None) is None:
         raise FunctionNotFound(name)
 
 
-def has_function(name: str) -> bool:
-    return name.lower() in _functions
+def has_function(name: str, column: str | None = None) -> bool:
+    return own_name(name.lower(), column) in _functions
 
 
 def call(name: str, *args):
     """The column of a registered function on columns."""
-    if name.lower() not in _functions:
+    key = name if name in _functions else name.lower()
+    if key not in _functions:
         raise FunctionNotFound(name)
-    f, arity, kind = _functions[name.lower()]
+    f, arity, kind = _functions[key]
     if len(args) != arity:
         raise FunctionNotFound(f"{name} takes {arity} arguments, not {len(args)}")
     one, returns = kind.startswith("each:"), kind.removeprefix("each:")

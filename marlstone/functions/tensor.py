@@ -129,9 +129,12 @@ def along(x: Column, depth: int, axis: int, f: Callable[..., Column]) -> Column:
         return f(x, 1)
     if axis == depth - 1:
         return each(x, depth - 1, lambda v: f(v, 1))
-    if axis == 0 and depth == 2:
+    if axis:
+        return F.transform(x, lambda v: along(v, depth - 1, axis - 1, f))
+    if depth == 2:
         return F.transform(transpose(x), lambda v: f(v, 1))
-    raise IndexDimensionError("reducers run along the last axis, or the first of two")
+    places = F.sequence(F.lit(0), F.size(F.get(x, 0)) - 1)
+    return F.when(F.size(F.get(x, 0)) > 0, F.transform(places, lambda j: along(F.transform(x, lambda v: F.get(v, j)), depth - 1, 0, f)))
 
 
 def l1_norm(x: Column) -> Column:

@@ -57,11 +57,15 @@ def ungroup_lengths(df: DataFrame, columns: Sequence[str], lengths: Sequence[int
     return rows.select(*rest, *(F.slice(F.col(c), F.col("__r.s") + 1, F.col("__r.n")).alias(c) for c in columns))
 
 
+#: Rows of a block of frames.
+BLOCK = 4096
+
+
 def expand(df: DataFrame, order: Sequence[str], back: int, ahead: int = 0, overlap: bool = True, columns: Sequence[str] | None = None, partition: Sequence[str] = ()) -> DataFrame:
     """EXPAND BY: each row's columns as the sequence of ``back`` rows before it to ``ahead`` after; without overlap one
     row for each run of back + ahead + 1.
 
-    Frames run over ``partition``; without one the rows are numbered densely first and frames are joined by number, so
+    Frames run over ``partition``; without one the rows are numbered densely first and framed in blocks of numbers, so
     that no task holds the whole table.
     """
     columns = list(columns or [c for c in df.columns if c not in order and c not in partition])
@@ -78,8 +82,12 @@ def expand(df: DataFrame, order: Sequence[str], back: int, ahead: int = 0, overl
 
     rows = with_row_id(df, order, "__n")
     if overlap:
-        spread = rows.select(F.explode(F.sequence(F.col("__n") - ahead, F.col("__n") + back)).alias("__at"), "__n", *columns)
-        seq = group_to_sequence(spread, ["__at"], ["__n"], columns, keep_keys=True)
-        return rows.select(F.col("__n").alias("__at"), *order).join(seq, "__at").drop("__at")
+        # blocks of rows are framed each in a window; only rows at a block's edge go to its neighbours too
+        block = max(BLOCK, 4 * (back + ahead))
+        at = lambda n: F.floor(n / block)
+        spread = rows.withColumn("__b", F.explode(F.sequence(at(F.col("__n") - ahead), at(F.col("__n") + back))))
+        frame = Window.partitionBy("__b").orderBy("__n").rangeBetween(-back, ahead)
+        seqs = spread.select("__b", "__n", *order, F.collect_list(F.struct(*columns)).over(frame).alias("__s"))
+        return seqs.filter(at(F.col("__n")) == F.col("__b")).select(*order, *(F.col(f"__s.{c}").alias(c) for c in columns))
     rows = rows.withColumn("__g", F.floor(F.col("__n") / (back + ahead + 1)))
     return group_to_sequence(rows, ["__g"], order, [*order, *columns], keep_keys=True).drop("__g")

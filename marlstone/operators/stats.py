@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+EXACT_COLUMNS = 4
+
+
+def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool | None = None) -> DataFrame:
     """A row per column, from one pass over the table.  n_distinct is minus the share of rows when over a tenth of them
-    are distinct, as planners keep it."""
+    are distinct, as planners keep it.  Exact counts of distinct values take a copy of each row for each column, so beyond
+    EXACT_COLUMNS they are estimated unless asked for."""
     columns = [f.name for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType)) and f.name in (columns or df.columns)]
+    exact = len(columns) <= EXACT_COLUMNS if exact is None else exact
     distinct = F.countDistinct if exact else F.approx_count_distinct
     agg = [F.count("*").alias("__n")]
     for c in columns:

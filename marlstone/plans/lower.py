@@ -599,6 +599,9 @@ class Scope:
         name, args, kw = e.value, e.args, getattr(e, "kwargs", {})
         if repr(e) in self.scores:
             return self.scores[repr(e)]
+        column = args[0].value.split(".")[-1] if args and args[0].kind == "col" else None
+        if column and registry.has_function(name, column):
+            return registry.call(registry.own_name(name, column), *map(self.col, args))
         if name in ("max_weight", "sum_weight"):
             cases = [(self.predicate(a.args[0]), self.value(a.args[1])) for a in args if a.kind == "weighted"]
             if len(cases) != len(args):

@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+import json
+import queue
+import threading
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paths import work_path
 
-def from_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
+def _file(spark: SparkSession, source: str | bytes, name: str) -> str:
+    """A path for a source; bytes are put into the shared folder, as executors read it."""
+    if isinstance(source, str):
+        return source
+    from pyarrow import fs
 
-def from_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """With a header; types are inferred, which reads the file twice, unless a schema is given."""
+    uri = work_path(spark, name)
+    store, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(source)
+    return f"{uri}/{name}"
+
+
+def from_parquet(spark: SparkSession, source: str | bytes) -> DataFrame:
+    """Of a path, or of a file's bytes."""
+    return spark.read.parquet(_file(spark, source, "rows.parquet"))
+
+
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(n): the count of a Parquet folder's rows from the files' footers alone, pushed into the reader."""
+    key, before = "spark.sql.sources.useV1SourceList", spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(key, "")  # the reader that takes aggregates is that of the second version
+    try:
+        df = spark.read.parquet(path).agg(F.count("*").alias("n"))
+        df._jdf.queryExecution().optimizedPlan()  # fixed while the setting holds
+        return df
+    finally:
+        spark.conf.set(key, before)
+
+
+def from_csv(spark: SparkSession, path: str | bytes, schema: str | None = None) -> DataFrame:
+    """With a header, of a path or a file's bytes; types are inferred, which reads the file twice, unless a schema is given."""
+    path = _file(spark, path, "rows.csv")
     r = spark.read.option("header", True)
     return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
 
@@ -22,6 +56,22 @@ def to_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def to_coco(path: str, **parts: DataFrame) -> None:
+    """One JSON document with a list for each of ``parts`` (images, annotations, categories), written row by row, so
+    that only a partition is ever held."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.create_dir(root.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(root) as f:
+        for i, (name, df) in enumerate(parts.items()):
+            f.write(f"{', ' if i else '{'}{json.dumps(name)}: [".encode())
+            for k, r in enumerate(df.select(F.to_json(F.struct("*"))).toLocalIterator()):
+                f.write(f"{', ' if k else ''}{r[0]}".encode())
+            f.write(b"]")
+        f.write(b"}")
+
+
 def from_coco(spark: SparkSession, images_dir: str, annotations: str) -> DataFrame:
     """A row per image of a COCO file: its fields, and its annotations' boxes, categories and polygons as sequences."""
     doc = spark.read.option("multiLine", True).json(annotations)
@@ -47,12 +97,58 @@ def batches(df: DataFrame, size: int, drop_last: bool = False, columns: list[str
         yield {c: [x[c] for x in rows] for c in names}
 
 
+def prefetched(items: Iterator, ahead: int = 2) -> Iterator:
+    """The same items, made by a thread that is up to ``ahead`` in front; its errors are raised here."""
+    ready: queue.Queue = queue.Queue(ahead)
+    end, stop = object(), threading.Event()
+
+    def put(x: object) -> None:
+        while not stop.is_set():
+            try:
+                return ready.put(x, timeout=0.2)
+            except queue.Full:
+                pass
+
+    def work() -> None:
+        try:
+            for x in items:
+                put((x, None))
+                if stop.is_set():
+                    return
+            put((end, None))
+        except BaseException as e:  # noqa: BLE001
+            put((end, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        while True:
+            x, error = ready.get()
+            if error:
+                raise error
+            if x is end:
+                return
+            yield x
+    finally:
+        stop.set()
+
+
+def tensorflow_loader(df: DataFrame, size: int, transform=None, drop_last: bool = False):
+    """An iterable over tensor batches where tensorflow is installed."""
+    try:
+        import tensorflow as tf
+    except ImportError as e:
+        raise RuntimeError("tensorflow is not installed") from e
+    for b in prefetched(batches(df, size, drop_last)):
+        out = {k: tf.constant(v) for k, v in b.items()}
+        yield transform(out) if transform else out
+
+
 def torch_loader(df: DataFrame, size: int, transform=None, drop_last: bool = False):
     """An iterable over tensor batches where torch is installed."""
     try:
         import torch
     except ImportError as e:
         raise RuntimeError("torch is not installed") from e
-    for b in batches(df, size, drop_last):
+    for b in prefetched(batches(df, size, drop_last)):
         out = {k: torch.as_tensor(v) if isinstance(v[0], (int, float, list)) else v for k, v in b.items()}
         yield transform(out) if transform else out

@@ -220,12 +220,78 @@ def test_entry_points(spark, cells):
     assert api.is_filter("SELECT * FROM t WHERE i > 1 ORDER BY i LIMIT 2") and not api.is_filter("SELECT i FROM t")
     assert "select" in api.keywords()
     assert api.query("SELECT * WHERE i > 1", spark, view=cells).count() == 2
-    assert [r.i for r in api.query_async("SELECT i FROM t WHERE i = ?", spark=spark, tables={"t": cells}, params=[3]).result()] == [3]
+    assert [r.i for r in api.query_async("SELECT i FROM t WHERE i = ?", spark=spark, tables={"t": cells}, params=[3]).result().collect()] == [3]
+    plan = json.loads(api.explain_query("SELECT i FROM t WHERE i > 1", as_json=True, spark=spark, tables={"t": cells}))
+    assert "Filter" in str(plan["optimised"]) and plan["physical"] and "Select" in plan["parsed"]
     assert "Scan" in api.explain_query("SELECT i FROM t", spark=spark, tables={"t": cells})
     run = api.prepare_query("SELECT i FROM t WHERE i >= ? AND i < ?", spark=spark, tables={"t": cells})
     assert [d.count() for d in run.run_batch([[0, 2], [3, 9], [9, 9]])] == [2, 1, 0]
 
 
+def test_async_is_cancelled(spark):
+    import time
+
+    slow = spark.range(0, 1 << 40, 1, 4).select(F.sum(F.sin("id")).alias("s"))
+    f = api.query_async("SELECT s FROM slow", spark=spark, tables={"slow": slow})
+    time.sleep(2)
+    assert not f.is_completed()
+    f.cancel()
+    with pytest.raises(Exception):
+        f.result(30)
+    assert f.is_completed()
+
+
+def test_count_from_footers(spark):
+    df = io.count_rows(spark, "/root/testdata/sf0.01/lineitem.parquet")
+    assert "COUNT(*)" in df._jdf.queryExecution().toString().split("PushedAggregation")[1][:20] and df.first().n > 0
+    assert "FileScan parquet" in spark.read.parquet("/root/testdata/sf0.01/region.parquet")._jdf.queryExecution().toString()
+
+
+def test_column_functions(spark, cells):
+    api.register_function(lambda a: a + 1, name="shift", returns="double")
+    api.register_function(lambda a: a + 100, name="shift", returns="double", column="i")
+    got = api.query("SELECT SHIFT(i) AS own, SHIFT(i + 0) AS all_ FROM t WHERE i = 3", spark, tables={"t": cells}).first()
+    assert (got.own, got.all_) == (103.0, 4.0)
+    api.unregister_function("shift", column="i")
+    assert api.has_function("shift") and not api.has_function("shift", "i")
+    api.unregister_function("shift")
+
+
+def test_reducers_along_inner_axes(spark):
+    import numpy as np
+
+    a = np.arange(24.0).reshape(2, 3, 4)
+    df = spark.createDataFrame([(a.tolist(),)], "a array<array<array<double>>>")
+    for axis in (0, 1, 2, -2):
+        assert df.select(T.along(F.col("a"), 3, axis, T.total).alias("s")).first().s == a.sum(axis).tolist()
+
+
+def test_bytes_and_prefetching(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"a": [1, 2]}).to_parquet(tmp_path / "x.parquet")
+    assert io.from_parquet(spark, (tmp_path / "x.parquet").read_bytes()).count() == 2
+    assert [tuple(r) for r in io.from_csv(spark, b"a,b\n1,x\n", "a int, b string").collect()] == [(1, "x")]
+    assert [b["id"] for b in io.prefetched(io.batches(spark.range(5), 2))] == [[0, 1], [2, 3], [4]]
+
+    def broken():
+        yield 1
+        raise KeyError("lost")
+
+    with pytest.raises(KeyError):
+        list(io.prefetched(broken()))
+    for loader in (io.tensorflow_loader, io.torch_loader):
+        with pytest.raises(RuntimeError):
+            next(loader(spark.range(1), 1))
+
+
+def test_expand_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK", 5)
+    df = spark.range(23).withColumn("v", F.when(F.col("id") % 4 != 0, F.col("id")))
+    got = {r.id: r.v for r in sequences.expand(df, ["id"], 3, 1).collect()}
+    assert got == {i: [k if k % 4 else None for k in range(max(i - 3, 0), min(i + 2, 23))] for i in range(23)}
+
+
 def test_user_functions(spark, cells):
     api.register_function(lambda a: a * 10, name="tenfold", returns="double")
     api.register_function(lambda a, b: f"{a}/{b}", name="slashed", returns="string", is_batch=False)
