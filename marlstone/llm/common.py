@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,7 +102,7 @@ class UnitTokenizer:
     ``specials_as_text``, with which the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 800_000, specials_as_text: bool = False):
+    def __init__(self, path: str, kind: str, limit: int = 1_200_000, specials_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -199,13 +199,28 @@ class UnitTokenizer:
                 cache[u] = self.np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``self.dtype``."""
+        """The ids of each text as little-endian integers of ``self.dtype``; some texts at a time, whose units stay in the
+        processor's cache from their cutting to their joining."""
+        import gc
+
+        out: list[bytes] = []
+        collecting = gc.isenabled()
+        gc.disable()  # units make no cycles, and their number sets off one collection after the other
+        try:
+            for lo, hi in slices(texts, 1 << 16):
+                out += self._encode(texts[lo:hi])
+        finally:
+            if collecting:
+                gc.enable()
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.rest) + len(self.first) > self.limit:
             self.first.clear()
             self.rest.clear()
         if self.special is not None and any(self.special in t for t in texts):
             # an empty beginning in common is in every text
-            out = self.encode([t if self.special not in t else "" for t in texts]) if self.special else [b""] * len(texts)
+            out = self._encode([t if self.special not in t else "" for t in texts]) if self.special else [b""] * len(texts)
             at = [i for i, t in enumerate(texts) if self.special in t]
             for i, e in zip(at, self.tk.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)):
                 out[i] = self.np.array(e.ids, self.dtype).tobytes()
@@ -213,15 +228,14 @@ class UnitTokenizer:
         split = [self._units(t) for t in texts]
         first, rest = self.first, self.rest
         if self.kind == "word":
-            self._learn(rest, [u for u in set().union(*split) if u not in rest], "")
+            self._learn(rest, list(set(filterfalse(rest.__contains__, chain.from_iterable(split)))), "")
             return [b"".join(map(rest.__getitem__, s)) for s in split]
-        self._learn(first, [u for u in {line[0] for s in split for line in s} | {"\n"} if u not in first], "")
-        missing: set[str] = set()
-        missing.update(*[line[1:] for s in split for line in s])
-        self._learn(rest, [u for u in missing if u not in rest and u[:1] != "\t"], " ")
         rest |= self.marks
-        get, end = rest.__getitem__, first["\n"]
-        return [end.join([first[line[0]] + b"".join(map(get, line[1:])) for line in s]) for s in split]
+        heads = [line.pop(0) for s in split for line in s]
+        self._learn(first, list({"\n", *heads}.difference(first)), "")
+        self._learn(rest, list(set(filterfalse(rest.__contains__, chain.from_iterable(chain.from_iterable(split))))), " ")
+        get, end, head = rest.__getitem__, first["\n"], iter(map(first.__getitem__, heads))
+        return [end.join([next(head) + b"".join(map(get, line)) for line in s]) for s in split]
 
 
 _tokenizers: dict[tuple[str, str], UnitTokenizer] = {}
