@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
-BATCH_TERMS = 256
+#: Rows of queries and terms up to which they go to every task of a batch, so that no other word leaves its task.
+BROADCAST_TERMS = 100_000
 _CUT = r"[^\p{L}\p{N}-]+"
 
 
@@ -27,9 +28,8 @@ def contains(c: Column, word: Column | str) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words: runs of letters, digits and hyphens.  Texts of ASCII signs take a cheaper pattern."""
-    low = F.lower(c)
-    return F.array_remove(F.when(F.octet_length(low) == F.length(low), F.split(low, "[^a-z0-9-]+")).otherwise(F.split(low, _CUT)), "")
+    """Lower-case words: runs of letters, digits and hyphens."""
+    return F.array_remove(F.split(F.lower(c), _CUT), "")
 
 
 def query_terms(q: str) -> list[str]:
@@ -86,23 +86,18 @@ def bm25(docs: DataFrame, text: str, key: str, query: str, score: str = "score")
 
 
 def bm25_batch(docs: DataFrame, text: str, key: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    """(query_key, key, score) for a table of queries: postings of the queries' terms only, joined on the term.  With up
-    to BATCH_TERMS different terms only the words that are among them leave their text.
+    """(query_key, key, score) for a table of queries: postings of the queries' terms only, joined on the term.
 
     A hot term's postings are spread by Spark's skew join; a document's weights are summed with map-side combining.
     """
     asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     words = docs.select(key, tokens(F.col(text)).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    vocabulary = asked.select("term").distinct()
-    held = F.col("w")
-    terms = vocabulary.limit(BATCH_TERMS + 1).collect()
-    if len(terms) <= BATCH_TERMS:
-        own = F.array(*(F.lit(r.term) for r in terms)) if terms else F.array().cast("array<string>")
-        words = words.filter(F.arrays_overlap("w", own))
-        held = F.filter("w", lambda x: F.array_contains(own, x))
-    post = words.select(key, F.size("w").alias("dl"), F.explode(held).alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if few else lambda df: df  # counted
+    vocabulary = near(asked.select("term").distinct())
+    post = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("qtf") * F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.join(idf, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    return post.join(near(idf), "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
