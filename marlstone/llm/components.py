@@ -16,6 +16,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     stored in the shared folder.  No edges give no rows.
     """
     e = C.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
+    sums = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    now = sums(e)
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,9 +27,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         new = C.stored(small, name)
-        a, b = (x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for x in (e, new))
-        e = new
-        if a == b:
+        e, before = new, now
+        now = sums(e)
+        if now == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -52,6 +52,18 @@ def key(rows):
     return sorted(rows, key=repr)
 
 
+def test_stored_tables_are_released(spark):
+    import os
+
+    before = common._kept[:]
+    common._kept.clear()
+    df = common.stored(spark.range(3).toDF("a"), "some")
+    path = common._kept[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    assert common.release(spark) == 1 and not os.path.exists(path) and not common._kept
+    common._kept.extend(before)
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
