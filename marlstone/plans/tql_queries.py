@@ -186,6 +186,7 @@ TQL: dict[str, tuple[str, str]] = {
     "json_path": ("SELECT event_id, CAST(props['k'] AS int64) AS k FROM events WHERE props['k'] = '69'", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k FROM events WHERE (props ->> 'k') = '69'"),
     "json_missing": ("SELECT event_id, props['nothing'] AS v, KEYS(props) AS ks FROM events", "SELECT event_id, props ->> 'nothing' AS v, array_to_string(json_keys(props), ',') AS ks FROM events"),
     # text search
+    "tql_limit_percent": ("SELECT p_partkey, p_size FROM part LIMIT 100 PERCENT", "SELECT p_partkey, p_size FROM part"),
     "bm25_topk": (f"SELECT doc_id, ROUND(BM25_SIMILARITY(text, '{_WORDS}'), 6) AS score FROM documents ORDER BY BM25_SIMILARITY(text, '{_WORDS}') DESC LIMIT 10", f"SELECT doc_id, round(score, 6) AS score FROM ({bm25_sql(_WORDS)}) ORDER BY score DESC LIMIT 10"),
     # scalars
     "tql_scalars": ("SELECT p_partkey, p_name || '!' AS s, LPAD(p_type, 9, '.') AS l, SUBSTRING(p_name, 1, 3) AS sub, p_size % 7 AS r, p_size ^ 2 AS sq, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c FROM part", "SELECT p_partkey, p_name || '!' AS s, lpad(p_type, 9, '.') AS l, substring(p_name, 1, 3) AS sub, p_size % 7 AS r, CAST(p_size * p_size AS DOUBLE) AS sq, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c FROM part"),
