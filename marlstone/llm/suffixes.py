@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from . import common as C
 LENGTH, K = 200, 96
 WINDOW = LENGTH - K + 1
 CHUNK = 1 << 21
-#: Contexts of one anchor beyond which its windows are dealt out one by one and counted by a 128-bit hash (BLAKE2), and
-#: such contexts in one run of texts, of HELD bytes, beyond which they do not even travel to their anchor.
+#: Contexts of one anchor beyond which they are dealt out in pieces (see ``_dealt``), and such contexts in one run of
+#: texts, of HELD bytes, beyond which they do not even travel to their anchor.
 SPLIT, LOCAL, HELD = 1000, 100, 1 << 26
 
 _U = np.uint64
@@ -193,7 +194,7 @@ FOUND = "own1 long, own2 long, first int, last int, kind int, anchor long"
 
 def _groups(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.RecordBatch]:
     """Of runs sorted by anchor and place: kind 0, windows that are repeated for certain; 1, runs whose bytes are to be
-    compared; 2, the same window by window, of anchors with over ``split`` runs or marked hot.  At most ``split`` runs
+    compared; 2, the same piece by piece, of anchors with over ``split`` runs or marked hot.  At most ``split`` runs
     of one anchor, and a batch, are held."""
     names, kinds = ["own1", "own2", "first", "last", "kind", "anchor"], (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64)
 
@@ -240,12 +241,19 @@ def _groups(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.Record
         yield from whole(held)
 
 
+def _pieces(text: bytes, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run of windows, of 16 on the average, as (first, last) starts.  The 8 bytes at a start say whether a part
+    begins there, so equal strings are cut alike whatever is around them."""
+    cuts = [i for i in range(first + 1, last + 1) if not crc32(text[i : i + 8]) & 15]
+    return zip([first, *cuts], [*(i - 1 for i in cuts), last])
+
+
 CONTEXT = "anchor long, context binary, windows int, own1 long, own2 long, first int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each run asked for; of a split anchor's runs the 128-bit hash of each window, with 0 for ``windows``.
-    A row that ``twice`` says is there again is repeated whole: its last window comes as ``first``, with -1."""
+    """The bytes of each run asked for; of a split anchor's runs those of each piece, with 0 for ``windows``.  A row that
+    ``twice`` says is there again is repeated whole: its last window comes as ``first``, with -1."""
     names = ["anchor", "context", "windows", "own1", "own2", "first"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
     before = None
@@ -265,7 +273,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind[at] == 1:
                     rows.append((anchor[at], text[a : z + LENGTH], z - a + 1, own1, own2, a))
                 else:
-                    rows += [(anchor[at], hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), 0, own1, own2, i) for i in range(a, z + 1)]
+                    rows += [(anchor[at], text[i : j + LENGTH], 0, own1, own2, i) for i, j in _pieces(text, a, z)]
                 if len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows.clear()
@@ -412,11 +420,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(rows)
 
 
-def _dealt(windows: DataFrame) -> DataFrame:
-    """Of the windows of split anchors those whose hash occurs twice, counted with map-side combining.  Windows that very
-    many rows share are a hot key of the look-up alone, which Spark's skew join splits."""
-    twice = C.stored(windows.groupBy("context").agg(F.count("*").alias("n")).filter("n > 1").select("context"), "windows")
-    return windows.join(twice, "context", "left_semi").select("own1", "own2", "first", F.col("first").alias("last"))
+WINDOWS = "window binary, alone boolean, own1 long, own2 long, first int"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 128-bit hash (BLAKE2) of each window of different pieces, and whether its piece is there once."""
+    names, kinds = ["window", "alone", "own1", "own2", "first"], [pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+    for b in batches:
+        rows: list[tuple] = []
+        for context, n, own1, own2, first in zip(*(c.to_pylist() for c in b.columns)):
+            rows += [(hashlib.blake2b(context[i : i + LENGTH], digest_size=16).digest(), n == 1, own1, own2, first + i) for i in range(len(context) - LENGTH + 1)]
+            if len(rows) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """The repeated windows of split anchors.  Pieces that are equal byte for byte are counted with map-side combining and
+    repeated whole, one row each.  Only windows of different pieces are counted by their hash, and only those of a piece
+    that is there once are looked up one by one.  Both joins return a row of theirs once at most, and one that very many
+    rows share is a hot key of the look-up alone, which Spark's skew join splits."""
+    # of a piece that is there once the greatest place is its place
+    different = C.stored(pieces.groupBy("context").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("own1", "own2", "first"))), "pieces")
+    whole = pieces.join(different.filter("n > 1").select("context"), "context", "left_semi")
+    windows = C.map_arrow(different, _windows, WINDOWS)
+    twice = C.stored(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "windows")
+    single = windows.filter("alone").join(twice, "window", "left_semi").select("own1", "own2", "first", F.col("first").alias("last"))
+    return whole.select("own1", "own2", "first", (F.col("first") + F.octet_length("context") - LENGTH).alias("last")).union(single)
 
 
 def _own(docs: DataFrame) -> list:

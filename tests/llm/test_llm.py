@@ -286,6 +286,27 @@ def test_suffixes_of_split_anchors(spark, monkeypatch, split, local):
     assert any(w[2] for w in want)
 
 
+def test_dealt_rows_of_large_groups(spark):
+    """The joins of split anchors return a row for each shared piece, not for each window, and twice as many for twice the group."""
+    r = random.Random(12)
+    core = "".join(r.choice("abcdef ") for _ in range(700))
+    noise = lambda n: "".join(r.choice("uvwxyz ") for _ in range(n))
+    ts = [(noise(r.randint(40, 150)) + core + noise(r.randint(40, 150))).encode() for _ in range(80)] + [core.encode() * 2, noise(500).encode()]
+    made = []
+    for some in (ts[40:], ts):
+        runs = collections.defaultdict(list)
+        for row, first, last, _, h, _ in zip(*suffixes.anchor_runs(some)):
+            runs[int(row)].append((int(first), int(last), 2, int(h.view(np.int64))))
+        df = spark.createDataFrame([(k, 0, some[k].decode(), False, x) for k, x in runs.items()], "own1 long, own2 long, text string, twice boolean, runs array<struct<first:int,last:int,kind:int,anchor:long>>")
+        got = suffixes._dealt(common.map_arrow(df, suffixes._contexts, suffixes.CONTEXT).filter("windows = 0")).collect()
+        c = collections.Counter(t[i : i + 200] for t in some for i in range(len(t) - 199))
+        want = [(k, i) for k, t in enumerate(some) for i in range(len(t) - 199) if c[t[i : i + 200]] > 1]
+        assert sorted((x.own1, i) for x in got for i in range(x["first"], x["last"] + 1)) == want
+        assert len(got) < len(want) / 4
+        made.append(len(got))
+    assert made[1] < 2.5 * made[0]
+
+
 def test_suffixes_compare_bytes_not_hashes(monkeypatch):
     """With a hash that says all runs are equal nothing is settled that is not."""
     r = random.Random(11)
