@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Edges of a round for each file of the next.  On a local file system a file costs its executor three processes.
+EDGES = 1 << 18
+
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v; longs): the smallest node reachable.
 
     Alternating large-star and small-star steps: each joins the edges with every node's least neighbour, found by an
     aggregate with map-side combining, so a node with very many edges is never gathered in one task.  Every round is
-    stored in the shared folder.  No edges give no rows.
+    stored in the shared folder, in files by the number of edges before it, which a round doubles at most.  No edges
+    give no rows.
     """
     e = C.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
     sums = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -26,7 +30,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = C.stored(small, name)
+        new = C.stored(small.coalesce(-(-now.n // EDGES) or 1), name)
         e, before = new, now
         now = sums(e)
         if now == before:

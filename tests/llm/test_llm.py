@@ -218,6 +218,29 @@ def test_anchor_links(spark):
     assert key(map(sorted, groups.values())) == key(map(sorted, want.values()))
 
 
+def test_rounds_of_few_edges_are_few_files(spark, monkeypatch):
+    import glob
+
+    from marlstone.llm import components
+
+    chain = [(i, i + 1) for i in range(1, 90)] + [(200, 300), (300, 250)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for each, most in ((components.EDGES, 1), (16, 12)):
+        monkeypatch.setattr(components, "EDGES", each)
+        kept = len(common._kept)
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            got = components.components(spark.createDataFrame(chain, "u long, v long")).collect()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        assert key(map(tuple, got)) == key([(i, 1) for i in range(1, 91)] + [(i, 200) for i in (200, 250, 300)])
+        files = [len(glob.glob(f"{p.removeprefix('file://')}/part-*")) for p in common._kept[kept:]]
+        assert len(files) > 2 and all(n <= most for n in files[1:]) and (most == 1 or max(files[1:]) > 1)
+
+
 def test_code_covers_with_radius_one():
     x = np.random.default_rng(2).integers(0, 1 << 64, 500, dtype=np.uint64)
     row, a = simhash.anchors(x)
