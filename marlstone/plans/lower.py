@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, FloatType, IntegralType, MapType, NumericType, StringType, StructType
 
 from .. import errors as E
 from ..functions import jsonfn, registry
@@ -22,6 +22,8 @@ from .parser import Node, Select, SetOp
 _AGG = {"count", "sum", "avg", "mean", "min", "max", "stddev", "std", "stdev", "variance", "var", "any_value"}
 _CELL = {"sum": T.total, "avg": T.mean, "mean": T.mean, "prod": T.product, "amin": T.least, "amax": T.greatest, "min": T.least, "max": T.greatest, "std": T.stdev, "stdev": T.stdev, "stddev": T.stdev, "median": T.median}
 _OPS = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "%": lambda a, b: a % b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+#: Of these, floats are doubles: two of them would be added in 24 bits.
+_ARITHMETIC = ("+", "-", "*", "/", "%")
 _PLAIN = {"lower": F.lower, "upper": F.upper, "length": F.length, "trim": F.trim, "lpad": F.lpad, "rpad": F.rpad, "substring": F.substring, "substr": F.substr, "concat": F.concat, "coalesce": F.coalesce, "greatest": F.greatest, "least": F.least, "floor": F.floor, "ceil": F.ceil, "exp": F.exp, "ln": F.log, "power": F.pow, "regexp_substr": F.regexp_substr, "array_length": F.size, "nullif": F.nullif, "log10": F.log10, "sign": F.sign}
 
 
@@ -555,6 +557,8 @@ class Scope:
         if (isinstance(la, StringType) and isinstance(lb, NumericType)) or (isinstance(lb, StringType) and isinstance(la, NumericType)):
             raise E.TypeMismatch(f"{ka.simpleString()} and {kb.simpleString()} do not go together")
         f = _OPS[e.value]
+        if e.value in _ARITHMETIC and (isinstance(la, FloatType) or isinstance(lb, FloatType)):
+            f = lambda x, y: _OPS[e.value](*(v.cast("double") if isinstance(k, FloatType) else v for v, k in ((x, la), (y, lb))))
         if T.rank(ka) or T.rank(kb):
             return T.zipped(a, T.rank(ka), b, T.rank(kb), f)
         return f(a, b)

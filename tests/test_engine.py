@@ -77,6 +77,13 @@ def test_golden_maxsim(hybrid):
     close(search.pooled_top_k(hybrid, "m", q, 10, "id"), want)
 
 
+def test_floats_are_added_as_doubles(spark):
+    t = spark.createDataFrame([([1.0, 1e-8, 3.0],)], "e array<float>")
+    got = api.query("SELECT e[0:1] + e[1:2] AS a, e[0:1] - e[1:2] AS s, e[1:2] * e[2:3] AS m, e[0] + e[1] AS x FROM t", spark, tables={"t": t}).first()
+    small = float(t.selectExpr("double(e[1]) as v").first().v)
+    assert (got.a, got.s, got.m, got.x) == ([1 + small], [1 - small], [small * 3], 1 + small)
+
+
 def test_golden_bm25(spark, hybrid):
     want = {1: 5.057182, 10: 1.8425648, 3: 1.6849195}
     close(search.bm25_top_k(hybrid, "keywords", "machine learning", 10, "id"), want)
