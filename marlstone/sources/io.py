@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import coco
 from .paths import work_path
 
 
@@ -57,27 +58,17 @@ def to_csv(df: DataFrame, path: str) -> None:
 
 
 def to_coco(path: str, **parts: DataFrame) -> None:
-    """One JSON document with a list for each of ``parts`` (images, annotations, categories), written row by row, so
-    that only a partition is ever held."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    store.create_dir(root.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(root) as f:
-        for i, (name, df) in enumerate(parts.items()):
-            f.write(f"{', ' if i else '{'}{json.dumps(name)}: [".encode())
-            for k, r in enumerate(df.select(F.to_json(F.struct("*"))).toLocalIterator()):
-                f.write(f"{', ' if k else ''}{r[0]}".encode())
-            f.write(b"]")
-        f.write(b"}")
+    """One JSON document with a list for each of ``parts`` (images, annotations, categories)."""
+    coco.write(path, parts)
 
 
 def from_coco(spark: SparkSession, images_dir: str, annotations: str) -> DataFrame:
     """A row per image of a COCO file: its fields, and its annotations' boxes, categories and polygons as sequences."""
-    doc = spark.read.option("multiLine", True).json(annotations)
-    images = doc.select(F.explode("images").alias("i")).select("i.id", "i.file_name", "i.height", "i.width")
-    names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("category"))
-    marks = doc.select(F.explode("annotations").alias("a")).select(F.col("a.image_id").alias("id"), F.col("a.id").alias("mark"), "a.bbox", "a.category_id", *(["a.segmentation"] if "segmentation" in doc.select(F.explode("annotations").alias("a")).schema["a"].dataType.names else []))
+    lists = coco.read(spark, annotations)
+    images = lists["images"].select("id", "file_name", "height", "width")
+    names = lists["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    marks = lists["annotations"]
+    marks = marks.select(F.col("image_id").alias("id"), F.col("id").alias("mark"), "bbox", "category_id", *(["segmentation"] if "segmentation" in marks.columns else []))
     marks = marks.join(names, "category_id", "left")
     cols = [c for c in ("bbox", "category_id", "category", "segmentation") if c in marks.columns]
     seqs = marks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("mark", *cols))).alias("s"))

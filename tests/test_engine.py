@@ -84,6 +84,32 @@ def test_floats_are_added_as_doubles(spark):
     assert (got.a, got.s, got.m, got.x) == ([1 + small], [1 - small], [small * 3], 1 + small)
 
 
+def test_coco_by_blocks(spark, tmp_path):
+    """Blocks of 200 bytes end anywhere: in strings with braces, quotes and backslashes, in nested objects, over several."""
+    odd = ['{"a": [', "}}", 'q\\"}', "\\\\", "[x]\n", "", "long}" * 90]
+    images = [{"id": i, "file_name": odd[i % 7], "height": 1, "width": 2, "more": {"deep": {"x": "}"}}} for i in range(60)]
+    marks = [{"id": i, "image_id": i % 50, "category_id": i % 2, "bbox": [i, 0, 1, 1], "segmentation": [[i, 1]]} for i in range(150)]
+    doc = {"info": {"about": {"list": [{"id": 1}]}}, "images": images, "licenses": [{"id": 3}], "annotations": marks, "categories": [{"id": 0, "name": "}"}, {"id": 1, "name": "b"}]}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for indent in (None, 1):
+            (tmp_path / f"c{indent}.json").write_text(json.dumps(doc, indent=indent))
+            got = {r.id: r for r in io.from_coco(spark, "d", str(tmp_path / f"c{indent}.json")).collect()}
+            assert {i: r.image for i, r in got.items()} == {m["id"]: "d/" + m["file_name"] for m in images}
+            want = {i: [[float(m["bbox"][0]), 0.0, 1.0, 1.0] for m in marks if m["image_id"] == i] or None for i in got}
+            assert {i: r.bbox for i, r in got.items()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_coco_rows_pass_the_driver_by(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows came to the driver"))
+    io.to_coco(str(tmp_path / "x" / "c.json"), images=spark.range(5), none=spark.range(0), annotations=spark.range(3).repartition(3))
+    got = json.loads((tmp_path / "x" / "c.json").read_text())
+    assert [sorted(r["id"] for r in got[k]) for k in ("images", "none", "annotations")] == [[0, 1, 2, 3, 4], [], [0, 1, 2]]
+
+
 def test_golden_bm25(spark, hybrid):
     want = {1: 5.057182, 10: 1.8425648, 3: 1.6849195}
     close(search.bm25_top_k(hybrid, "keywords", "machine learning", 10, "id"), want)
