@@ -110,6 +110,19 @@ def test_coco_rows_pass_the_driver_by(spark, tmp_path, monkeypatch):
     assert [sorted(r["id"] for r in got[k]) for k in ("images", "none", "annotations")] == [[0, 1, 2, 3, 4], [], [0, 1, 2]]
 
 
+def test_bm25_batch_is_scored_where_rows_are(spark, monkeypatch):
+    """Documents are not dealt out for their scores; as by the join on terms, of null and empty texts and repeated keys too."""
+    docs = spark.createDataFrame([(i, k if i % 9 else None) for i, k in enumerate(KEYWORDS * 3)] + [(200, "")], "id int, t string")
+    asked = spark.createDataFrame([("a", "ai machine learning learning"), ("b", "data ai"), (None, "quantum data"), ("c", "absent")], "q string, t string")
+    run = lambda d: {(r.q, r.id): round(r.score, 9) for r in X.bm25_batch(d, "t", "id", asked, "q", "t").collect()}
+    assert "Exchange hashpartitioning" not in X.bm25_batch(docs, "t", "id", asked, "q", "t")._jdf.queryExecution().toString()
+    got, twice = run(docs), run(docs.union(docs))
+    monkeypatch.setattr(X, "SCORES", 3)
+    assert run(docs) == got
+    monkeypatch.setattr(X, "BROADCAST_TERMS", 0)
+    assert got and run(docs) == got and run(docs.union(docs)) == twice
+
+
 def test_golden_bm25(spark, hybrid):
     want = {1: 5.057182, 10: 1.8425648, 3: 1.6849195}
     close(search.bm25_top_k(hybrid, "keywords", "machine learning", 10, "id"), want)
