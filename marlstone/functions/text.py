@@ -103,6 +103,16 @@ def _places(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return both // max(len(terms), 1), both % max(len(terms), 1), tf
 
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, dl, token, tf) of each row's different words, from (number, words)."""
+    for b in batches:
+        words = b.column(1)
+        terms = pc.unique(words.flatten())
+        row, term, tf = _places(words, terms)
+        dl = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int32()).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), dl, terms.take(pa.array(term)), pa.array(tf.astype(np.int64))], [b.schema.names[0], "dl", "token", "tf"])
+
+
 def _counted(terms: list[str]):
     """Rows of a task with each term; under -1 all rows, under -2 all words, under -3 rows with a text."""
 

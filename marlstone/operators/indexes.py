@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..errors import DatasetError
 from ..functions import tensor as T
 from ..functions import text as X
+from ..sources.paths import discard, work_path
 from . import search
 from .rows import ROW_ID
 
@@ -93,12 +94,14 @@ class Indexes:
             rows.repartitionByRange(*keys, ROW_ID).sortWithinPartitions(*keys, ROW_ID).write.parquet(path)
 
         if kind in ("bm25", "inverted") and isinstance(self.d.schema[column].dataType, StringType):
-            words = df.select(ROW_ID, X.tokens(c).alias("w"))
-            post = words.select(ROW_ID, F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("token", ROW_ID, "dl").agg(F.count("*").alias("tf"))
+            # a row's words are counted where the row is, once; ranges are then drawn from what is stored
+            folder = work_path(self.d.spark, "words")
+            df.select(ROW_ID, X.tokens(c).alias("w")).mapInArrow(X.counted_words, f"{ROW_ID} long, dl int, token string, tf long").write.parquet(folder)
+            post = self.d.spark.read.parquet(folder)
             sorted_by(post, "token")
             # the rows without a word count too
-            n, total = words.agg(F.count("*"), F.sum(F.size("w"))).first()
-            entry |= {"n": n, "total": total or 0}
+            entry |= {"n": df.count(), "total": post.agg(F.sum("tf")).first()[0] or 0}
+            discard(folder)
         elif kind in ("inverted", "exact_text"):
             sorted_by(df.select(c.alias("value"), ROW_ID).filter("value is not null"), "value")
         elif kind == "json":

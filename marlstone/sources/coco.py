@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .paths import work_path
+from .paths import discard, work_path
 
 #: Bytes that the joining task holds at once.
 BLOCK = 1 << 24
@@ -56,8 +56,7 @@ def write(path: str, parts: dict[str, DataFrame]) -> None:
             yield batch
 
     spark.range(0, 1, 1, 1).mapInArrow(join, "id long").collect()
-    pieces, root = _store(folder)
-    pieces.delete_dir(root)
+    discard(folder)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:

@@ -26,3 +26,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(uri: str) -> None:
+    """Deletes a working folder."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    store.delete_dir(root)

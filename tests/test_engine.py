@@ -123,6 +123,23 @@ def test_bm25_batch_is_scored_where_rows_are(spark, monkeypatch):
     assert got and run(docs) == got and run(docs.union(docs)) == twice
 
 
+def test_words_are_split_once_for_an_index(spark, tmp_path, monkeypatch):
+    d = Dataset.create(spark, str(tmp_path / "words"), "t string")
+    texts = [*KEYWORDS, "", None, "a b a A"]
+    d.append(spark.createDataFrame([(t,) for t in texts], "t string"))
+    d.commit("texts")
+    seen, split = spark.sparkContext.accumulator(0), X.tokens
+    monkeypatch.setattr(X, "tokens", lambda c: split(F.udf(lambda t: seen.add(1) or t)(c)))
+    ix = Indexes(d)
+    ix.create("t", "bm25")
+    assert seen.value == len(texts)
+    entry = ix.all()["t"]
+    got = sorted((r.token, r.tf, r.dl) for r in spark.read.parquet(entry["path"]).collect())
+    words = [X.query_terms(t or "") for t in texts]
+    assert got == sorted((w, ws.count(w), len(ws)) for ws in words for w in set(ws))
+    assert (entry["n"], entry["total"]) == (len(texts), sum(map(len, words)))
+
+
 def test_golden_bm25(spark, hybrid):
     want = {1: 5.057182, 10: 1.8425648, 3: 1.6849195}
     close(search.bm25_top_k(hybrid, "keywords", "machine learning", 10, "id"), want)
